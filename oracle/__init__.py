@@ -1,5 +1,5 @@
 """DuckDB statements the registered queries are compared with."""
 
-from oracle import panel
+from oracle import panel, universe
 
-ORACLE_SQL: dict[str, str] = {**panel.SQL}
+ORACLE_SQL: dict[str, str] = {**panel.SQL, **universe.SQL}

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 
 def rnd(x: str, n: int) -> str:
-    """Round half away from zero on the decimal value (a tie never sits on the wrong side)."""
-    return f"round(({x}) + sign({x}) * 1e-9, {n})"
+    """Round half up on the printed decimal value, as Spark does for doubles."""
+    return f"CAST(round(CAST(CAST(CAST(({x}) AS DOUBLE) AS VARCHAR) AS DECIMAL(38, 15)), {n}) AS DOUBLE)"
 
 
 def rank(c: str) -> str:

@@ -8,8 +8,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelflow.operators import asof as ao
 from panelflow.operators import crosssection as cs
 from panelflow.operators import revision as rv
+from panelflow.operators import universe as un
 from panelflow.sources import driver_tables as dt
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,3 +69,87 @@ def flow_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("accrual")
 def accrual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cs.accrual(dt.panel_captures(spark, sf_dir), "2001-01-15")
+
+
+# ---- universe and liquidity ----------------------------------------------------------------
+BAR_ADV_FLOOR = 20_000.0  # the brand bars trade in thousands, not millions
+
+
+@query("symbol_resolution")
+def symbol_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tickers = dt.export_tickers(spark, sf_dir).select("ticker").distinct()
+    return un.resolve_symbols(tickers, dt.bars(spark, sf_dir)).withColumn(
+        "matched", F.col("feed_symbol").isNotNull()
+    )
+
+
+def _rounded(df: DataFrame, **digits: int) -> DataFrame:
+    return df.withColumns({c: F.round(c, n) for c, n in digits.items()})
+
+
+@query("adv_median_21")
+def adv_median_21(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(un.dollar_volume(dt.bars(spark, sf_dir)), adv_usd=4)
+
+
+@query("return_63")
+def return_63(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(un.trend(dt.bars(spark, sf_dir)).select("symbol", "session", "tr_3m_pct"), tr_3m_pct=6)
+
+
+@query("vol_63")
+def vol_63(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(un.trend(dt.bars(spark, sf_dir)).select("symbol", "session", "vol_ann_pct"), vol_ann_pct=6)
+
+
+@query("chart_ma")
+def chart_ma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return un.chart_history(dt.bars(spark, sf_dir), as_of="2000-12-31")
+
+
+@query("asof_membership")
+def asof_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members per (customer, priority class) at each capture, from the change-compacted series."""
+    series = dt.order_membership(spark, sf_dir).withColumn("_k", F.struct("symbol", "index_name"))
+    state = ao.state_at_captures(
+        series, "_k", "session", [], ["is_member"], dt.panel_captures(spark, sf_dir)
+    )
+    return state.where("is_member = 1").select("_k.symbol", "_k.index_name", "as_of", "is_member")
+
+
+def _symbol_anchors(bars: DataFrame, captures: DataFrame) -> DataFrame:
+    """Every symbol at every capture: the capture dates ride along as one short array."""
+    days = captures.agg(F.sort_array(F.collect_set("as_of"))).scalar()
+    return bars.select("symbol").distinct().withColumn("as_of", F.explode(days))
+
+
+@query("asof_anchor_close")
+def asof_anchor_close(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = dt.bars(spark, sf_dir)
+    anchors = _symbol_anchors(bars, dt.panel_captures(spark, sf_dir))
+    out = ao.asof_join(
+        anchors,
+        bars.select("symbol", "session", F.col("session").alias("anchor_date"), F.col("close").alias("close_tr")),
+        ["symbol"], "as_of", "session", ["anchor_date", "close_tr"],
+        bucket=F.year("session"), left_bucket=F.year("as_of"),
+    )
+    return _rounded(out, close_tr=6)
+
+
+def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = dt.panel_captures(spark, sf_dir).agg(F.sort_array(F.collect_set("as_of"))).scalar()
+    snapshot = dt.export_tickers(spark, sf_dir).withColumn("as_of", F.explode(days))
+    return un.merge_panel(
+        snapshot, dt.bars(spark, sf_dir), dt.brand_membership(spark, sf_dir), adv_floor=BAR_ADV_FLOOR
+    )
+
+
+@query("panel_merge")
+def panel_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _rounded(_merged(spark, sf_dir), close_tr=6, adv_usd=4, tr_3m_pct=6, vol_ann_pct=6)
+    return out.withColumn("member_of", F.array_join("member_of", "|"))
+
+
+@query("liquid_funnel")
+def liquid_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return un.funnel(_merged(spark, sf_dir))
