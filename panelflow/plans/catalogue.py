@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from panelflow.operators import asof as ao
 from panelflow.operators import crosssection as cs
+from panelflow.operators import eventlog as ev
+from panelflow.operators import identity as idn
 from panelflow.operators import revision as rv
 from panelflow.operators import universe as un
 from panelflow.sources import driver_tables as dt
@@ -153,3 +155,37 @@ def panel_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("liquid_funnel")
 def liquid_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return un.funnel(_merged(spark, sf_dir))
+
+
+# ---- event log -----------------------------------------------------------------------------
+
+
+def _sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.confirmation_sweep(dt.event_log(spark, sf_dir), dt.event_instants(spark, sf_dir))
+
+
+QUERIES["confirm_sweep_pairs"] = _sweep
+QUERIES["confirm_by_elapsed"] = lambda spark, sf_dir: ev.by_elapsed(_sweep(spark, sf_dir))
+QUERIES["confirm_by_span"] = lambda spark, sf_dir: ev.by_span(_sweep(spark, sf_dir))
+QUERIES["confirm_within_span"] = lambda spark, sf_dir: ev.within_span(_sweep(spark, sf_dir))
+
+
+def _flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.flow_windows(dt.event_log(spark, sf_dir), dt.event_instants(spark, sf_dir))
+
+
+QUERIES["target_flow_windows"] = _flow
+QUERIES["target_flow_overlap"] = lambda spark, sf_dir: ev.flow_overlap(dt.event_log(spark, sf_dir))
+QUERIES["target_flow_night_day"] = lambda spark, sf_dir: ev.night_and_day(_flow(spark, sf_dir))
+
+
+def _classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idn.classify(dt.event_log(spark, sf_dir), dt.event_instants(spark, sf_dir))
+
+
+QUERIES["identity_classify"] = _classes
+QUERIES["identity_contingency"] = lambda spark, sf_dir: idn.contingency(_classes(spark, sf_dir))
+QUERIES["identity_ztest"] = lambda spark, sf_dir: idn.z_test(_classes(spark, sf_dir))
+QUERIES["present_throughout"] = lambda spark, sf_dir: idn.present_throughout(
+    dt.event_log(spark, sf_dir), dt.event_instants(spark, sf_dir)
+)
