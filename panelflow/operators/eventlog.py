@@ -12,24 +12,22 @@ from pyspark.sql import functions as F
 from panelflow.functions import clock
 from panelflow.functions import signals as sg
 from panelflow.schema import FLOW_FLOOR_PCT
+from panelflow.session import settle
 
 MEASURES = ["paired", "up", "down", "confirmed_up", "confirmed_down"]
 
 
-def _runs(rows: DataFrame, same: list[str]) -> DataFrame:
-    """Stretches of consecutive captures over which a ticker's `same` columns do not change."""
-    w = Window.partitionBy("ticker").orderBy("capture_ord")
-    held = F.lag(F.struct("capture_ord", *same)).over(w)
-    broke = ~F.coalesce(
-        (F.col("_h.capture_ord") == F.col("capture_ord") - 1), F.lit(False)
-    )
+def _runs(stretches: DataFrame, same: list[str]) -> DataFrame:
+    """Join consecutive stretches [s, e] of a ticker over which its `same` columns do not change."""
+    w = Window.partitionBy("ticker").orderBy("s")
+    touches = F.coalesce(F.col("_h.e") == F.col("s") - 1, F.lit(False))
     for c in same:
-        broke = broke | ~F.col(f"_h.{c}").eqNullSafe(F.col(c))
+        touches = touches & F.col(f"_h.{c}").eqNullSafe(F.col(c))
     return (
-        rows.withColumn("_h", held)
-        .withColumn("_run", F.sum(F.when(broke, 1).otherwise(0)).over(w))
+        stretches.withColumn("_h", F.lag(F.struct("e", *same)).over(w))
+        .withColumn("_run", F.sum(F.when(touches, 0).otherwise(1)).over(w))
         .groupBy("ticker", "_run", *same)
-        .agg(F.min("capture_ord").alias("s"), F.max("capture_ord").alias("e"))
+        .agg(F.min("s").alias("s"), F.max("e").alias("e"))
         .drop("_run")
     )
 
@@ -51,24 +49,26 @@ def confirmation_sweep(log: DataFrame, captures: DataFrame) -> DataFrame:
     all names are summed before a double running sum over the captures-by-captures grid restores
     the counts. Work follows the label changes, not names times pairs.
     """
-    labelled = log.withColumn("rank", sg.label_rank(F.col("analyst_consensus"))).where("rank IS NOT NULL")
+    c = F.col
+    labelled = log.select(
+        "ticker", sg.label_rank(c("analyst_consensus")).alias("rank"), "rating_date",
+        c("capture_ord").alias("s"), c("capture_ord").alias("e"),
+    ).where("rank IS NOT NULL")
+    # the log compressed to its changes, written once: every later step reads only this
+    target = settle(_runs(labelled, ["rank", "rating_date"]))
+    held = _runs(target, ["rank"])
+    present = _runs(target, []).select("ticker", "s", "e")
     caps = captures.select("capture_ord", F.to_date("et").alias("day"))
-    # capture range of a rating date: last capture dated on or before it, first dated on or after
-    dated = labelled.select("rating_date").where("rating_date IS NOT NULL").distinct()
-    spans = _date_limits(dated, caps)
-    present = _runs(labelled.select("ticker", "capture_ord"), []).select("ticker", "s", "e")
-    later = present.select("ticker", F.col("s").alias("s2"), F.col("e").alias("e2"))
+    spans = _date_limits(target.select("rating_date").where("rating_date IS NOT NULL").distinct(), caps)
+    later = present.select("ticker", c("s").alias("s2"), c("e").alias("e2"))
     pairs = present.join(later, "ticker").where("s2 >= s")
     one = F.lit(1)
-    c = F.col
     paired = pairs.select(F.inline(_block(c("s"), c("e"), c("s2"), c("e2"), {"paired": one})))
 
-    held = _runs(labelled.select("ticker", "capture_ord", "rank"), ["rank"])
-    target = _runs(labelled.select("ticker", "capture_ord", "rank", "rating_date"), ["rank", "rating_date"])
-    target = target.join(spans, "rating_date", "left").select(
+    dated = target.join(spans, "rating_date", "left").select(
         "ticker", c("rank").alias("rank2"), c("s").alias("s2"), c("e").alias("e2"), "last_on_before", "first_on_after"
     )
-    moves = held.join(target, "ticker").where((c("e") < c("s2")) & (c("rank") != c("rank2")))
+    moves = held.join(dated, "ticker").where((c("e") < c("s2")) & (c("rank") != c("rank2")))
     up, down = (c("rank2") < c("rank")).cast("int"), (c("rank2") > c("rank")).cast("int")
     a2 = F.least(c("e"), c("last_on_before"))
     b1 = F.greatest(c("s2"), c("first_on_after"))

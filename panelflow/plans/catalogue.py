@@ -160,32 +160,22 @@ def liquid_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- event log -----------------------------------------------------------------------------
 
 
-def _sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.confirmation_sweep(dt.event_log(spark, sf_dir), dt.event_instants(spark, sf_dir))
-
-
-QUERIES["confirm_sweep_pairs"] = _sweep
-QUERIES["confirm_by_elapsed"] = lambda spark, sf_dir: ev.by_elapsed(_sweep(spark, sf_dir))
-QUERIES["confirm_by_span"] = lambda spark, sf_dir: ev.by_span(_sweep(spark, sf_dir))
-QUERIES["confirm_within_span"] = lambda spark, sf_dir: ev.within_span(_sweep(spark, sf_dir))
-
-
-def _flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.flow_windows(dt.event_log(spark, sf_dir), dt.event_instants(spark, sf_dir))
-
-
-QUERIES["target_flow_windows"] = _flow
-QUERIES["target_flow_overlap"] = lambda spark, sf_dir: ev.flow_overlap(dt.event_log(spark, sf_dir))
-QUERIES["target_flow_night_day"] = lambda spark, sf_dir: ev.night_and_day(_flow(spark, sf_dir))
-
-
-def _classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return idn.classify(dt.event_log(spark, sf_dir), dt.event_instants(spark, sf_dir))
-
-
-QUERIES["identity_classify"] = _classes
-QUERIES["identity_contingency"] = lambda spark, sf_dir: idn.contingency(_classes(spark, sf_dir))
-QUERIES["identity_ztest"] = lambda spark, sf_dir: idn.z_test(_classes(spark, sf_dir))
-QUERIES["present_throughout"] = lambda spark, sf_dir: idn.present_throughout(
-    dt.event_log(spark, sf_dir), dt.event_instants(spark, sf_dir)
-)
+def on_log(name: str, operator: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        captures = dt.event_instants(spark, sf_dir)
+        return operator(dt.event_log(spark, sf_dir, captures), captures)
+
+    QUERIES[name] = run
+
+
+on_log("confirm_sweep_pairs", ev.confirmation_sweep)
+on_log("confirm_by_elapsed", lambda log, caps: ev.by_elapsed(ev.confirmation_sweep(log, caps)))
+on_log("confirm_by_span", lambda log, caps: ev.by_span(ev.confirmation_sweep(log, caps)))
+on_log("confirm_within_span", lambda log, caps: ev.within_span(ev.confirmation_sweep(log, caps)))
+on_log("target_flow_windows", ev.flow_windows)
+on_log("target_flow_overlap", lambda log, caps: ev.flow_overlap(log))
+on_log("target_flow_night_day", lambda log, caps: ev.night_and_day(ev.flow_windows(log, caps)))
+on_log("identity_classify", idn.classify)
+on_log("identity_contingency", lambda log, caps: idn.contingency(idn.classify(log, caps)))
+on_log("identity_ztest", lambda log, caps: idn.z_test(idn.classify(log, caps)))
+on_log("present_throughout", idn.present_throughout)

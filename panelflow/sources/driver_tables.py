@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from panelflow.functions import clock
 from panelflow.operators.asof import number_captures, state_at_captures
 from panelflow.schema import ADV_FLOOR, PRICE_FLOOR, TARGET_INDICES
+from panelflow.session import settle
 
 COVERAGE_DAYS = 730
 EVENT_STEP_HOURS = 31
@@ -29,19 +30,19 @@ def panel_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     quarter = F.to_date(F.date_trunc("quarter", F.col("o_orderdate")))
     days = table(spark, sf_dir, "orders").select(quarter.alias("as_of")).distinct()
     w = Window.orderBy("as_of")
-    return (
+    return settle(
         number_captures(days, ["as_of"])
         .withColumn("prev_as_of", F.lag("as_of").over(w))
         .withColumn("next_as_of", F.lead("as_of").over(w))
     )
 
 
-def ratings_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ratings_panel(spark: SparkSession, sf_dir: str, captures: DataFrame | None = None) -> DataFrame:
     """One row per (capture, customer): the customer's latest order as a merged panel record.
 
     A customer is on the export while its latest order is at most COVERAGE_DAYS old.
     """
-    captures = panel_captures(spark, sf_dir)
+    captures = panel_captures(spark, sf_dir) if captures is None else captures
     orders = table(spark, sf_dir, "orders")
     state = state_at_captures(
         orders,
@@ -203,14 +204,13 @@ def event_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = (F.date_trunc("day", F.col("a")) + F.expr("INTERVAL 1 DAY")).cast("timestamp")
     step = F.expr(f"INTERVAL {EVENT_STEP_HOURS} HOURS")
     ts = log.select(F.explode(F.sequence(start, F.col("b").cast("timestamp"), step)).alias("t"))
-    return number_captures(ts.select(F.col("t").cast("timestamp_ntz").alias("cap_ts")), ["cap_ts"], 0).withColumn(
-        "et", clock.singapore_to_eastern(F.col("cap_ts"))
-    )
+    numbered = number_captures(ts.select(F.col("t").cast("timestamp_ntz").alias("cap_ts")), ["cap_ts"], 0)
+    return settle(numbered.withColumn("et", clock.singapore_to_eastern(F.col("cap_ts"))))
 
 
-def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_log(spark: SparkSession, sf_dir: str, captures: DataFrame | None = None) -> DataFrame:
     """State of every user at every capture instant as a daily-log record."""
-    captures = event_instants(spark, sf_dir)
+    captures = event_instants(spark, sf_dir) if captures is None else captures
     state = state_at_captures(
         table(spark, sf_dir, "events"),
         key="user_id",
