@@ -1,5 +1,5 @@
 """DuckDB statements the registered queries are compared with."""
 
-from oracle import eventlog, panel, universe
+from oracle import eventlog, panel, quality, universe
 
-ORACLE_SQL: dict[str, str] = {**panel.SQL, **universe.SQL, **eventlog.SQL}
+ORACLE_SQL: dict[str, str] = {**panel.SQL, **universe.SQL, **eventlog.SQL, **quality.SQL}

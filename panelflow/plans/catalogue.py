@@ -8,13 +8,17 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelflow.functions import cells
 from panelflow.operators import asof as ao
 from panelflow.operators import crosssection as cs
 from panelflow.operators import eventlog as ev
+from panelflow.operators import guards as gd
 from panelflow.operators import identity as idn
+from panelflow.operators import quality as ql
 from panelflow.operators import revision as rv
 from panelflow.operators import universe as un
 from panelflow.sources import driver_tables as dt
+from panelflow.sources import exports as ex
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -179,3 +183,96 @@ on_log("identity_classify", idn.classify)
 on_log("identity_contingency", lambda log, caps: idn.contingency(idn.classify(log, caps)))
 on_log("identity_ztest", lambda log, caps: idn.z_test(idn.classify(log, caps)))
 on_log("present_throughout", idn.present_throughout)
+
+
+# ---- cells, ingest, checks, guards ---------------------------------------------------------
+
+
+@query("numeric_cells")
+def numeric_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dt.number_cells(spark, sf_dir).select(
+        "event_id",
+        cells.numeric_cell(F.col("cell")).alias("number"),
+        cells.suspicious_number(F.col("cell")).alias("suspicious"),
+    )
+
+
+@query("rating_date_parse")
+def rating_date_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dt.date_cells(spark, sf_dir).select(
+        "o_orderkey",
+        cells.rating_date_lenient(F.col("cell")).alias("lenient"),
+        cells.rating_date_strict(F.col("cell")).alias("strict"),
+    )
+
+
+def _snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = dt.raw_export(spark, sf_dir)
+    records = ex.normalise(raw.withColumnRenamed("as_of", "_as_of"), F.col("_as_of"), ["_page", "_row", "_as_of"])
+    return ex.keep_first(records.drop("_as_of"), ["_page", "_row"])
+
+
+@query("dedupe_keep_first")
+def dedupe_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _snapshot(spark, sf_dir).select("as_of", "ticker", "_page", "_row", "n_dropped")
+
+
+@query("ingest_snapshot")
+def ingest_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _snapshot(spark, sf_dir).select(
+        "as_of", "ticker", "company", "sector", "price", "best_analyst_price_target", "best_analyst_upside_pct",
+        "analyst_price_target_upside_pct", "analyst_price_target", "analyst_consensus", "last_rating_date",
+        "smart_score", "insider_signal", "dividend_yield", "n_dropped",
+    )
+
+
+@query("capture_header")
+def capture_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = dt.raw_export(spark, sf_dir)
+    mapping, unmapped = ex.map_headers([c for c in raw.columns if c not in ("as_of", "_page", "_row")])
+    return ex.capture_header(_snapshot(spark, sf_dir), mapping, unmapped).select(
+        "schema_version", "as_of", "as_of_weekday", "as_of_is_weekend", "n_rows", "n_dropped",
+        F.array_join("unmapped_columns", ",").alias("unmapped"),
+    )
+
+
+@query("dq_checks")
+def dq_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    headers, members = dt.capture_headers(spark, sf_dir)
+    return ql.capture_checks(headers, members, today="2001-06-01")
+
+
+@query("asof_prior_capture")
+def asof_prior_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ql.prior_captures(dt.both_streams(spark, sf_dir), "daily", "weekly")
+
+
+def _coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ql.session_coverage(dt.panel_captures(spark, sf_dir), dt.sessions(spark, sf_dir))
+
+
+QUERIES["session_coverage"] = _coverage
+QUERIES["coverage_summary"] = lambda spark, sf_dir: ql.coverage_summary(_coverage(spark, sf_dir))
+QUERIES["slot_split"] = lambda spark, sf_dir: ql.slot_split(dt.both_streams(spark, sf_dir).where("stream = 'daily'"))
+
+
+@query("feed_gate")
+def feed_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = dt.bars(spark, sf_dir)
+    benchmarks = bars.select("symbol").distinct().where(F.col("symbol").isin("BRAND-1", "BRAND-2", "BRAND-3"))
+    last = dt.part_bars(spark, sf_dir).groupBy("symbol").agg(F.max("session").alias("last_session"))
+    delisted = last.where("last_session < DATE '2001-01-01'")
+    closes = (F.col("session").cast("timestamp_ntz") + F.expr("INTERVAL 21 HOURS")).alias("close_ts")
+    calendar = dt.sessions(spark, sf_dir).select("session", closes)
+    return ql.feed_gate(bars, benchmarks, delisted, dt.brand_membership(spark, sf_dir), calendar, "2001-06-30 12:00:00")
+
+
+@query("leak_scan")
+def leak_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gd.leaked_keys(dt.quoted_keys(spark, sf_dir), dt.table(spark, sf_dir, "pages"), "html", "page_id")
+
+
+@query("guard_marker_scan")
+def guard_marker_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = rv.revision_rows(dt.ratings_panel(spark, sf_dir))
+    return gd.banned_text(rows.select(F.to_json(F.struct(*rows.columns)).alias("doc")), "doc")

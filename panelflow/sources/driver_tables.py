@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from panelflow.functions import clock
 from panelflow.operators.asof import number_captures, state_at_captures
@@ -18,8 +19,15 @@ COVERAGE_DAYS = 730
 EVENT_STEP_HOURS = 31
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Parquet table; its schema is read from the footers once per path."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 # ---- weekly-panel stand-in -----------------------------------------------------------------
@@ -236,3 +244,103 @@ def event_log(spark: SparkSession, sf_dir: str, captures: DataFrame | None = Non
         F.date_sub(F.to_date("ts"), (F.col("event_id") % 4).cast("int")).alias("rating_date"),
         F.col("value"),
     )
+
+
+# ---- text-cell, export and capture-header stand-ins ----------------------------------------
+
+
+def number_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event values written in eight export styles."""
+    v = F.col("value").cast("string")
+    style = F.col("event_id") % 8
+    text = (
+        F.when(style == 0, F.concat(F.lit("$"), v, F.lit("M")))
+        .when(style == 1, F.concat(F.lit("("), v, F.lit("%)")))
+        .when(style == 2, F.concat(v, F.lit("% Downside")))
+        .when(style == 3, F.lit("n/a"))
+        .when(style == 4, F.concat(F.lit("-"), v, F.lit("%")))
+        .when(style == 5, F.concat(F.lit("$"), v, F.lit(" (51.54% Upside)")))
+        .when(style == 6, F.concat(F.lit("  $4,"), F.lpad((F.col("event_id") % 1000).cast("string"), 3, "0"), F.lit(",100 ")))
+        .otherwise(F.concat(v, F.lit(" bps")))
+    )
+    return table(spark, sf_dir, "events").select("event_id", text.alias("cell"))
+
+
+def date_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order dates written in the export's date styles, some unreadable."""
+    d = F.col("o_orderdate")
+    style = F.col("o_orderkey") % 6
+    text = (
+        F.when(style == 0, F.date_format(d, "MMM dd, yyyy"))
+        .when(style == 1, F.date_format(d, "MMMM d, yyyy"))
+        .when(style == 2, F.date_format(d, "yyyy-MM-dd"))
+        .when(style == 3, F.concat(F.lit("rated "), F.date_format(d, "MMM d, yyyy"), F.lit(" by desk")))
+        .when(style == 4, F.concat(F.lit("Feb 30, "), F.year(d).cast("string")))
+        .otherwise(F.lit("pending"))
+    )
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.alias("cell"))
+
+
+def raw_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw text export of every quarter: one row per order, pages by priority, keys repeat."""
+    o = table(spark, sf_dir, "orders")
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_mktsegment")
+    price = F.col("o_totalprice")
+    money = F.concat(F.lit("$"), F.col("o_orderkey").cast("string"), F.lit(".25K"))
+    return o.join(c, "o_custkey").select(
+        F.to_date(F.date_trunc("quarter", F.col("o_orderdate"))).alias("as_of"),
+        F.concat(F.lit(" t"), F.col("o_custkey").cast("string"), F.lit(" ")).alias("Ticker"),
+        F.col("c_name").alias("Name"),
+        F.col("c_mktsegment").alias("Sector"),
+        money.alias("Price"),
+        F.concat(F.lit("$"), (F.col("o_orderkey") * 3).cast("string")).alias("Best Price Target Upside"),
+        F.concat((F.col("o_orderkey") % 90).cast("string"), F.lit(".5% Downside")).alias("Top Analysts' Price Target - upside/downside"),
+        F.concat((F.col("o_orderkey") % 70).cast("string"), F.lit(".25%")).alias("Analyst Price Target %"),
+        F.concat(F.lit("$"), (F.col("o_orderkey") * 2).cast("string"), F.lit("M")).alias("Analyst Price Target"),
+        F.substring("o_orderpriority", 3, 20).alias("Analyst Consensus"),
+        F.date_format("o_orderdate", "MMM dd, yyyy").alias("Last Rating Date"),
+        F.when(F.col("o_orderstatus") == "P", "n/a").otherwise((F.col("o_orderkey") % 10 + 1).cast("string")).alias("Smart Score"),
+        F.col("o_orderstatus").alias("Insider Signal"),
+        F.lit("41,527,325.00").alias("Volume"),
+        F.substring("o_orderpriority", 1, 1).cast("int").alias("_page"),
+        F.col("o_orderkey").alias("_row"),
+    )
+
+
+def capture_headers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Header and member tables of the raw quarterly exports."""
+    o = table(spark, sf_dir, "orders").select(
+        F.to_date(F.date_trunc("quarter", F.col("o_orderdate"))).alias("as_of"), F.col("o_custkey").alias("ticker"), "o_orderkey"
+    )
+    caps = panel_captures(spark, sf_dir).select("as_of", "capture_ord")
+    keyed = o.groupBy("as_of", "ticker").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("k"))
+    keyed = keyed.join(F.broadcast(caps), "as_of")  # one row per quarter
+    digest = F.sha2(F.concat_ws("-", F.sum("n").cast("string"), F.sum("k").cast("string")), 256)
+    fields = ["ticker", "company", "sector", "market_cap", "smart_score", "analyst_consensus", "best_analyst_consensus",
+              "analyst_price_target", "best_analyst_price_target", "last_rating_date", "insider_signal"]
+    headers = keyed.groupBy("as_of", "capture_ord").agg(
+        F.sum("n").alias("n_raw"), F.count(F.lit(1)).alias("n_rows"), F.array(digest).alias("sha256")
+    ).select(
+        "*",
+        F.array(*[F.lit(f) for f in fields]).alias("mapped_fields"),
+        F.array(F.lit("Volume")).alias("unmapped_columns"),
+        F.lit(1).alias("copies"),
+    )
+    return headers, keyed.select("capture_ord", "ticker")
+
+
+def both_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Capture dimension of both streams: quarterly untimed and event-log timed captures."""
+    weekly = panel_captures(spark, sf_dir).select(F.lit("weekly").alias("stream"), "as_of", F.lit("").alias("hhmm"))
+    clock_text = F.date_format("cap_ts", "HHmm")
+    daily = event_instants(spark, sf_dir).select(
+        F.lit("daily").alias("stream"), F.to_date("cap_ts").alias("as_of"),
+        F.when(clock_text == "0000", "").otherwise(clock_text).alias("hhmm"),
+    )
+    return weekly.unionByName(daily)
+
+
+def quoted_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys for the leak scan: benchmark words in path form, as page links carry them."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", " ")).alias("w"))
+    return words.select(F.concat(F.lit("/"), F.col("w")).alias("key")).distinct()
