@@ -8,13 +8,14 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelflow.functions import cells
+from panelflow.functions import cells, clock
 from panelflow.operators import asof as ao
 from panelflow.operators import crosssection as cs
 from panelflow.operators import eventlog as ev
 from panelflow.operators import guards as gd
 from panelflow.operators import identity as idn
 from panelflow.operators import quality as ql
+from panelflow.operators import returns as rt
 from panelflow.operators import revision as rv
 from panelflow.operators import universe as un
 from panelflow.sources import driver_tables as dt
@@ -123,16 +124,10 @@ def asof_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.where("is_member = 1").select("_k.symbol", "_k.index_name", "as_of", "is_member")
 
 
-def _symbol_anchors(bars: DataFrame, captures: DataFrame) -> DataFrame:
-    """Every symbol at every capture: the capture dates ride along as one short array."""
-    days = captures.agg(F.sort_array(F.collect_set("as_of"))).scalar()
-    return bars.select("symbol").distinct().withColumn("as_of", F.explode(days))
-
-
 @query("asof_anchor_close")
 def asof_anchor_close(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = dt.bars(spark, sf_dir)
-    anchors = _symbol_anchors(bars, dt.panel_captures(spark, sf_dir))
+    anchors = _anchors(bars, dt.panel_captures(spark, sf_dir))
     out = ao.asof_join(
         anchors,
         bars.select("symbol", "session", F.col("session").alias("anchor_date"), F.col("close").alias("close_tr")),
@@ -276,3 +271,60 @@ def leak_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def guard_marker_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rv.revision_rows(dt.ratings_panel(spark, sf_dir))
     return gd.banned_text(rows.select(F.to_json(F.struct(*rows.columns)).alias("doc")), "doc")
+
+
+# ---- returns and risk ----------------------------------------------------------------------
+
+
+def _anchors(bars: DataFrame, captures: DataFrame, feed_end=None) -> DataFrame:
+    """Every symbol at every capture date, and at the feed's end where one is given."""
+    days = captures.agg(F.collect_set("as_of")).scalar()
+    days = F.array_union(days, F.array(feed_end)) if feed_end is not None else days
+    return bars.select("symbol").distinct().withColumn("as_of", F.explode(days))
+
+
+def _forward(spark: SparkSession, sf_dir: str, known: bool) -> DataFrame:
+    bars = dt.part_bars(spark, sf_dir)
+    feed_end = dt.sessions(spark, sf_dir).agg(F.max("session")).scalar()
+    gone = None
+    if known:
+        gone = bars.groupBy("symbol").agg((F.max("session") < F.to_date(F.lit("2001-03-01"))).alias("delisted"))
+    anchors = _anchors(bars, dt.panel_captures(spark, sf_dir), feed_end)
+    return _rounded(rt.forward_returns(anchors, bars, feed_end, delisted_known=gone), ret_frac=6)
+
+
+QUERIES["forward_returns"] = lambda spark, sf_dir: _forward(spark, sf_dir, False)
+QUERIES["forward_returns_known"] = lambda spark, sf_dir: _forward(spark, sf_dir, True)
+
+
+@query("trailing_beta")
+def trailing_beta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = dt.bars(spark, sf_dir)
+    anchors = _anchors(bars, dt.panel_captures(spark, sf_dir))
+    return _rounded(rt.trailing_risk(anchors, bars, dt.market_bars(spark, sf_dir)), beta=6, drift_per_session=6)
+
+
+@query("drift_adjusted")
+def drift_adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = dt.bars(spark, sf_dir)
+    sessions = dt.sessions(spark, sf_dir)
+    out = rt.drift_adjusted_returns(
+        _anchors(bars, dt.panel_captures(spark, sf_dir)), bars, dt.market_bars(spark, sf_dir), sessions,
+        sessions.agg(F.max("session")).scalar(), ["1m", "3m"],
+    )
+    return _rounded(
+        out.select("symbol", "as_of", "horizon", "ret_frac", "market_ret", "n_sessions_held", "alpha"),
+        ret_frac=6, market_ret=6, alpha=5,
+    )
+
+
+@query("business_days_back")
+def business_days_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = clock.business_days_back(F.to_date("o_orderdate"), 3)
+    return dt.table(spark, sf_dir, "orders").select("o_orderkey", shifted.alias("shifted"))
+
+
+@query("session_snap")
+def session_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = dt.table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
+    return rt.snap_to_session(orders, "day", dt.sessions(spark, sf_dir)).select("o_orderkey", "snapped")
