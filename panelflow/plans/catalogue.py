@@ -9,16 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelflow.functions import cells, clock
+from panelflow.functions import signals as sg
 from panelflow.operators import asof as ao
 from panelflow.operators import crosssection as cs
 from panelflow.operators import eventlog as ev
 from panelflow.operators import guards as gd
 from panelflow.operators import identity as idn
+from panelflow.operators import inference as inf
+from panelflow.operators import portfolio as pf
 from panelflow.operators import quality as ql
 from panelflow.operators import returns as rt
 from panelflow.operators import revision as rv
+from panelflow.operators import schemes as sc
 from panelflow.operators import universe as un
 from panelflow.sources import driver_tables as dt
+from panelflow.session import settle
 from panelflow.sources import exports as ex
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -328,3 +333,141 @@ def business_days_back(spark: SparkSession, sf_dir: str) -> DataFrame:
 def session_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = dt.table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
     return rt.snap_to_session(orders, "day", dt.sessions(spark, sf_dir)).select("o_orderkey", "snapped")
+
+
+# ---- graded schemes, portfolios, inference -------------------------------------------------
+
+
+def graded(name: str, operator: Callable[[DataFrame, DataFrame], DataFrame], **digits: int) -> None:
+    """Register an operator over (scheme rows, capture dimension); the rows are built once."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        captures = dt.panel_captures(spark, sf_dir)
+        rows = settle(sc.scheme_rows(dt.graded_panel(spark, sf_dir, captures)))
+        return _rounded(operator(rows, captures), **digits)
+
+    QUERIES[name] = run
+
+
+def _last(captures: DataFrame):
+    return captures.agg(F.max("capture_ord")).scalar()
+
+
+def _event_buckets(rows: DataFrame, _: DataFrame) -> DataFrame:
+    parts = {"S1a": sc.rating_change(rows), "S1b": sc.target_raise(rows), "S3": sc.gated(rows)}
+    return reduce(
+        DataFrame.unionByName,
+        [df.select(F.lit(n).alias("scheme"), "as_of", "ticker") for n, df in parts.items()],
+    )
+
+
+def _book(rows: DataFrame, captures: DataFrame) -> DataFrame:
+    picks = {"S1a": sc.rating_change(rows), "S1c": sc.score_bucket(rows)}
+    members = reduce(DataFrame.unionByName, [df.select(F.lit(n).alias("scheme"), "capture_ord", "ticker", "adv_usd") for n, df in picks.items()])
+    return pf.cohort_weights(members, _last(captures))
+
+
+def _members(rows: DataFrame) -> DataFrame:
+    return settle(
+        sc.all_schemes(rows).select("scheme", "as_of", "capture_ord", "ticker", "alpha_1w", "alpha_1m", "alpha_3m")
+    )
+
+
+def _series(members: DataFrame) -> DataFrame:
+    return members.where("alpha_1m IS NOT NULL").groupBy("scheme", "capture_ord", "as_of").agg(F.avg("alpha_1m").alias("r"))
+
+
+def _estimates(members: DataFrame) -> DataFrame:
+    return inf.estimates(members, {h: F.col(f"alpha_{h}") for h in ("1w", "1m", "3m")})
+
+
+def _null(rows: DataFrame, members: DataFrame) -> DataFrame:
+    return inf.random_entry_null(rows, members, "beta", "alpha_1m")
+
+
+def _verdicts(rows: DataFrame, captures: DataFrame) -> DataFrame:
+    members = _members(rows)
+    n = captures.agg(F.count(F.lit(1))).scalar()
+    out = inf.verdicts(
+        inf.block_bootstrap_ci(inf.block_sums(members, "alpha_1m")),
+        inf.bh_fdr(_null(rows, members)),
+        inf.sign_stability(_estimates(members)),
+        inf.deflated_sharpe(_series(members)),
+        captures=n,
+        cohorts=n,
+    )
+    return out.drop("ci_low", "ci_high")
+
+
+def _regrade(rows: DataFrame, captures: DataFrame) -> DataFrame:
+    year_end = F.to_date(F.date_trunc("year", F.col("as_of")) + F.expr("INTERVAL 1 YEAR"))
+    return inf.regrade(_series(_members(rows)), captures.select(year_end.alias("cutoff")).distinct())
+
+
+def _axes(rows: DataFrame, _: DataFrame) -> DataFrame:
+    rank = sg.label_rank(F.col("analyst_consensus"))
+    news = F.col("news_sentiment")
+    return pf.axis_attribution(
+        rows,
+        {
+            "analyst": F.when(rank <= 1, 1).when(rank >= 3, -1).when(rank.isNotNull(), 0),
+            "insider": F.when(F.col("insider_signal") == "Positive", 1).when(F.col("insider_signal") == "Negative", -1),
+            "news": F.when(news == "Bullish", 1).when(news == "Bearish", -1).when(news.isNotNull(), 0),
+        },
+        "alpha_1m",
+    )
+
+
+_UP = "best_analyst_upside_pct"
+graded("event_buckets", _event_buckets)
+graded("target_revision_rank", lambda r, c: sc.with_rank(sc.target_raise(r), "target_pct").select("as_of", "ticker", "target_pct", "place"))
+graded("score_class_bucket", lambda r, c: sc.score_bucket(r).select("as_of", "ticker", "smart_score"))
+graded(
+    "winsor_zscore",
+    lambda r, c: sc.winsor_zscores(r, sc.composite_components()).select("as_of", "ticker", "rating_z", "target_z", "insider_z"),
+    rating_z=6, target_z=6, insider_z=6,
+)
+graded(
+    "style_residual",
+    lambda r, c: sc.style_residual(r, "alpha_1m").where("residual IS NOT NULL").select("as_of", "ticker", "residual"),
+    residual=6,
+)
+graded(
+    "composite_decile",
+    lambda r, c: sc.top_share(sc.composite(r), "composite_residual").select("as_of", "ticker", "composite_residual"),
+    composite_residual=6,
+)
+graded("capped_top20", lambda r, c: pf.capped_top(r, _UP).select("as_of", "place", "ticker", "sector", F.col(_UP).alias("best_upside")))
+graded("cohort_weights", lambda r, c: _book(r, c).drop("adv_usd"), weight=9)
+graded(
+    "tiered_costs",
+    lambda r, c: pf.costs(pf.trades(_book(r, c), _last(c))),
+    turnover=6, tiered_bps=6, flat_0_bps=6, flat_5_bps=6, flat_10_bps=6, flat_20_bps=6,
+)
+graded("book_performance", lambda r, c: pf.book_returns(_book(r, c), r, "alpha_1m"), mean=7, hit_rate=6)
+graded(
+    "retention_band",
+    lambda r, c: pf.retention_band(sc.rank_share(r, _UP)).select("ticker", "capture_ord", "rank_share", "held"),
+    rank_share=9,
+)
+graded("scheme_estimates", lambda r, c: _estimates(_members(r)), mean=7, hit_rate=6)
+graded("sign_stability", lambda r, c: inf.sign_stability(_estimates(_members(r))), mean_1w=7, mean_1m=7, mean_3m=7)
+graded("block_bootstrap_ci", lambda r, c: inf.block_bootstrap_ci(inf.block_sums(_members(r), "alpha_1m")), mean=7, ci_low=7, ci_high=7)
+graded("random_entry_null", lambda r, c: _null(r, _members(r)), actual=7, null_mean=7, p_value=6)
+graded(
+    "bh_fdr",
+    lambda r, c: inf.bh_fdr(_null(r, _members(r))).select("scheme", "p_value", "p_rank", "threshold", "keep"),
+    p_value=6, threshold=6,
+)
+graded("deflated_sharpe", lambda r, c: inf.deflated_sharpe(_series(_members(r))), sharpe=6, sharpe_floor=6, dsr=5)
+graded("effective_trials", lambda r, c: inf.effective_trials(_series(_members(r))), mean_rho=6, effective_n=6)
+graded("verdicts", _verdicts, mean=7, dsr=5)
+graded("quarterly_regrade", _regrade, mean=7)
+graded("paper_track", lambda r, c: inf.paper_track(_series(_members(r))), net_alpha=7)
+graded(
+    "decile_diagnostics",
+    lambda r, c: pf.diagnostics(sc.rank_share(r, _UP), "rank_share", "alpha_1m"),
+    top_mean=7, bottom_mean=7, spread=7, universe_mean=7,
+)
+graded("score_risers", lambda r, c: pf.score_risers(r, "alpha_1m"), mean=7)
+graded("axis_attribution", _axes, positive_mean=7, negative_mean=7)

@@ -113,6 +113,17 @@ def ratings_panel(spark: SparkSession, sf_dir: str, captures: DataFrame | None =
     )
 
 
+def graded_panel(spark: SparkSession, sf_dir: str, captures: DataFrame | None = None) -> DataFrame:
+    """Panel with a beta and three forward measures: the target's change one, two and three
+    captures on, in hundredths, where the name is still on the export then."""
+    w = Window.partitionBy("ticker").orderBy("capture_ord")
+    panel = ratings_panel(spark, sf_dir, captures).withColumn("beta", F.col("vol_ann_pct") / 25.0)
+    for k, name in ((1, "alpha_1w"), (2, "alpha_1m"), (3, "alpha_3m")):
+        ahead = F.first("analyst_price_target").over(w.rangeBetween(k, k))
+        panel = panel.withColumn(name, (ahead / F.col("analyst_price_target") - 1.0) / 100.0)
+    return panel
+
+
 # ---- price and membership stand-ins --------------------------------------------------------
 
 
