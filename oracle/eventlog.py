@@ -77,3 +77,9 @@ p AS (SELECT *, (0.254829592e0 * t - 0.284496736e0 * t ** 2 + 1.421413741e0 * t
 SELECT n1, x1, n2, x2, {rnd('p1', 6)} AS p_static, {rnd('p2', 6)} AS p_changed, {rnd('p1 / nullif(p2, 0)', 6)} AS ratio,
   {rnd('zz', 6)} AS z, {rnd('pv', 6)} AS p_value, coalesce(pv < 0.05 AND p1 > p2, FALSE) AS discriminates, least(n1, n2) < 50 AS caution FROM p"""
 SQL["present_throughout"] = f"WITH {EVENTS} SELECT ticker, count(*) AS captures FROM elog GROUP BY 1 HAVING count(*) = (SELECT count(*) FROM cap)"
+
+SQL["stream_revision"] = f"""WITH {EVENTS}
+SELECT b.capture_ord AS w, count(*) AS paired, count(*) FILTER (b.lab < a.lab) AS upgrades, count(*) FILTER (b.lab > a.lab) AS downgrades,
+  count(*) FILTER (b.best_target / a.best_target - 1 >= 0.0025e0) AS raises, count(*) FILTER (b.best_target / a.best_target - 1 <= -0.0025e0) AS cuts
+FROM elog b JOIN elog a ON a.ticker = b.ticker AND a.capture_ord = b.capture_ord - 1 GROUP BY 1"""
+SQL["stream_distinct_captures"] = "SELECT DISTINCT sha256(props) AS sha256 FROM events"

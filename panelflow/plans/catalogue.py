@@ -23,8 +23,9 @@ from panelflow.operators import revision as rv
 from panelflow.operators import schemes as sc
 from panelflow.operators import universe as un
 from panelflow.sources import driver_tables as dt
-from panelflow.session import settle
+from panelflow.session import scratch_path, settle
 from panelflow.sources import exports as ex
+from panelflow.streaming import captures as stc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -471,3 +472,45 @@ graded(
 )
 graded("score_risers", lambda r, c: pf.score_risers(r, "alpha_1m"), mean=7)
 graded("axis_attribution", _axes, positive_mean=7, negative_mean=7)
+
+
+# ---- streaming -----------------------------------------------------------------------------
+
+_STREAMED = ["ticker", "capture_ord", "analyst_consensus", "best_analyst_price_target"]
+
+
+@query("stream_revision")
+def stream_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moves per window from the stateful stream over the capture log, fed in two arrivals."""
+    captures = dt.event_instants(spark, sf_dir)
+    log = dt.event_log(spark, sf_dir, captures).select(*_STREAMED)
+    root = scratch_path(spark, "stream")
+    half = captures.agg(F.floor(F.max("capture_ord") / 2)).scalar()
+    for arrival in (F.col("capture_ord") <= half, F.col("capture_ord") > half):
+        log.where(arrival).write.mode("append").parquet(f"{root}/log")
+        records = stc.with_previous(
+            stc.capture_stream(spark, f"{root}/log", log.schema), "ticker", "capture_ord", _STREAMED[2:]
+        )
+        stc.run_available(records, stc.batch_writer(f"{root}/out"), f"{root}/state")
+    paired = stc.adjacent_only(spark.read.parquet(f"{root}/out"))
+    direction = sg.label_direction(F.col("p.analyst_consensus"), F.col("analyst_consensus"))
+    move = sg.target_move(F.col("p.best_analyst_price_target"), F.col("best_analyst_price_target"))
+    return paired.groupBy(F.col("capture_ord").alias("w")).agg(
+        F.count(F.lit(1)).alias("paired"),
+        F.count_if(direction > 0).alias("upgrades"),
+        F.count_if(direction < 0).alias("downgrades"),
+        F.count_if(move > 0).alias("raises"),
+        F.count_if(move < 0).alias("cuts"),
+    )
+
+
+@query("stream_distinct_captures")
+def stream_distinct_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints kept by the streaming duplicate filter over the event payloads."""
+    root = scratch_path(spark, "dedupe")
+    events = dt.table(spark, sf_dir, "events")
+    source = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    headers = source.select(F.sha2("props", 256).alias("sha256"), F.col("ts").cast("timestamp").alias("captured_at"))
+    kept = stc.distinct_captures(headers, "sha256", "captured_at", "3650 days")
+    stc.run_available(kept, stc.batch_writer(f"{root}/out"), f"{root}/state")
+    return spark.read.parquet(f"{root}/out").select("sha256")
