@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# ---- fixed values: number pattern, magnitude letters, blank tokens -------------------------
+# ---- fixed values: number pattern, magnitude letters, signs of a negative cell --------------
 NUMBER = r"\d[\d,]*(?:\.\d+)?"
 MAGNITUDE = {"K": 1e3, "M": 1e6, "B": 1e9, "T": 1e12}
-BLANKS = ["", "n/a", "na", "-", "--", "nan"]
+NEGATIVE = r"(?is)^[\s\u00a0]*-|^[\s\u00a0]*\(.*\)[\s\u00a0]*$|downside"
 
 
 def stripped(c: Column) -> Column:
@@ -17,21 +17,15 @@ def stripped(c: Column) -> Column:
 
 
 def numeric_cell(c: Column) -> Column:
-    """First number of a cell, scaled by the letter that follows it and signed by its context."""
-    s = stripped(c.cast("string"))
-    low = F.lower(s)
-    digits = F.regexp_extract(s, NUMBER, 0)
-    suffix = F.upper(F.regexp_extract(s, r"^\D*" + NUMBER + r"[\s ]*([KMBTkmbt])", 1))
-    scale = F.lit(1.0)
-    for letter, factor in MAGNITUDE.items():
-        scale = F.when(suffix == letter, F.lit(factor)).otherwise(scale)
-    size = F.replace(F.nullif(digits, F.lit("")), F.lit(","), F.lit("")).try_cast("double") * scale
-    negative = (
-        (s.startswith("(") & s.endswith(")")) | low.contains("downside") | s.startswith("-")
-    )
-    return F.when(low.isin(BLANKS), F.lit(None).cast("double")).otherwise(
-        F.when(negative, -F.abs(size)).otherwise(size)
-    )
+    """First number of a cell, scaled by the letter that follows it and signed by its context.
+
+    Each pattern runs once per cell. Blank tokens hold no digit, so they need no test.
+    """
+    text = c.cast("string")
+    digits = F.regexp_replace(F.regexp_extract(text, NUMBER, 0), ",", "").try_cast("double")
+    suffix = F.upper(F.regexp_extract(text, r"^\D*" + NUMBER + r"[\s\u00a0]*([KMBTkmbt])", 1))
+    letters = F.create_map(*[F.lit(x) for kv in [("", 1.0), *MAGNITUDE.items()] for x in kv])
+    return digits * F.element_at(letters, suffix) * F.when(text.rlike(NEGATIVE), -1.0).otherwise(1.0)
 
 
 def suspicious_number(c: Column) -> Column:

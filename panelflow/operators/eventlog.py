@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from panelflow.functions import clock
 from panelflow.functions import signals as sg
 from panelflow.schema import FLOW_FLOOR_PCT
-from panelflow.session import settle
+from panelflow.session import stored
 
 MEASURES = ["paired", "up", "down", "confirmed_up", "confirmed_down"]
 
@@ -55,7 +55,7 @@ def confirmation_sweep(log: DataFrame, captures: DataFrame) -> DataFrame:
         c("capture_ord").alias("s"), c("capture_ord").alias("e"),
     ).where("rank IS NOT NULL")
     # the log compressed to its changes, written once: every later step reads only this
-    target = settle(_runs(labelled, ["rank", "rating_date"]))
+    target = stored(_runs(labelled, ["rank", "rating_date"]), "runs")
     held = _runs(target, ["rank"])
     present = _runs(target, []).select("ticker", "s", "e")
     caps = captures.select("capture_ord", F.to_date("et").alias("day"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from panelflow.functions import signals as sg
 from panelflow.operators.ordered import ranked_values, scattered_index
+from panelflow.session import stored
 
 EULER = 0.5772156649015329
 N_SCHEMES = 5
@@ -24,6 +25,12 @@ def draw(n: Column, *coordinates: Column) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % n
 
 
+def spread(df: DataFrame) -> int:
+    """Partitions for work that fans out from a small table."""
+    spark = df.sparkSession
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def estimates(members: DataFrame, values: dict[str, Column]) -> DataFrame:
     """Mean, count and hit rate per scheme and horizon."""
     cells = F.array(*[F.struct(F.lit(n).alias("horizon"), c.alias("v")) for n, c in values.items()])
@@ -81,12 +88,15 @@ def random_entry_null(universe: DataFrame, members: DataFrame, drift: str, value
     binned = pool.join(
         ranks.select("as_of", drift, F.floor(c("n_below") * bins / c("n_total")).cast("int").alias("bin")), ["as_of", drift]
     )
-    numbered = scattered_index(binned.select("as_of", "bin", "ticker", value), ["as_of", "bin"], "ticker")
+    # stored: entries, draws and replicate means all read the numbering
+    numbered = stored(scattered_index(binned.select("as_of", "bin", "ticker", value), ["as_of", "bin"], "ticker"), "pool")
     picked = members.select("scheme", "as_of", "ticker").join(numbered, ["as_of", "ticker"])
     actual = picked.groupBy("scheme").agg(F.avg(value).alias("actual"), F.count(F.lit(1)).alias("entries"))
     wanted = picked.groupBy("scheme", "as_of", "bin").agg(F.count(F.lit(1)).alias("k"), F.max("group_n").alias("group_n"))
     draws = (
         wanted.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+        # the counts are few; spread them before they fan out into draws
+        .repartition(spread(universe), "scheme", "as_of", "bin", "rep")
         .withColumn("j", F.explode(F.sequence(F.lit(1), c("k").cast("int"))))
         .withColumn("idx", draw(c("group_n"), F.lit(seed), c("scheme"), c("as_of"), c("bin"), c("rep"), c("j")))
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from panelflow.functions import signals as sg
 from panelflow.operators.ordered import medians, quantiles, ranked_values
 from panelflow.operators.revision import adjacent
-from panelflow.session import attach, attach_per_capture
+from panelflow.session import attach, attach_per_capture, stored
 
 SCORE_CLASS_FLOOR = 90
 
@@ -173,9 +173,12 @@ def style_residual(rows: DataFrame, value: str, out: str = "residual", controls:
 
 
 def composite(rows: DataFrame) -> DataFrame:
-    """Equal-weight sum of winsorised z-scores, residualised on style."""
+    """Equal-weight sum of winsorised z-scores, residualised on style.
+
+    The scores are stored once: the regression sums and the residuals both read them.
+    """
     z = winsor_zscores(rows, composite_components())
-    summed = z.withColumn("composite", F.col("rating_z") + F.col("target_z") + F.col("insider_z"))
+    summed = stored(z.withColumn("composite", F.col("rating_z") + F.col("target_z") + F.col("insider_z")), "composite")
     return style_residual(summed, "composite", "composite_residual").withColumn(
         "composite_residual", F.round("composite_residual", 9)
     )

@@ -23,7 +23,7 @@ from panelflow.operators import revision as rv
 from panelflow.operators import schemes as sc
 from panelflow.operators import universe as un
 from panelflow.sources import driver_tables as dt
-from panelflow.session import scratch_path, settle
+from panelflow.session import scratch_path, stored
 from panelflow.sources import exports as ex
 from panelflow.streaming import captures as stc
 
@@ -208,9 +208,8 @@ def rating_date_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = dt.raw_export(spark, sf_dir)
-    records = ex.normalise(raw.withColumnRenamed("as_of", "_as_of"), F.col("_as_of"), ["_page", "_row", "_as_of"])
-    return ex.keep_first(records.drop("_as_of"), ["_page", "_row"])
+    raw = dt.raw_export(spark, sf_dir).withColumnRenamed("as_of", "_quarter")
+    return ex.snapshot(raw, F.col("_quarter"), ["_page", "_row", "_quarter"]).drop("_quarter")
 
 
 @query("dedupe_keep_first")
@@ -344,7 +343,7 @@ def graded(name: str, operator: Callable[[DataFrame, DataFrame], DataFrame], **d
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         captures = dt.panel_captures(spark, sf_dir)
-        rows = settle(sc.scheme_rows(dt.graded_panel(spark, sf_dir, captures)))
+        rows = stored(sc.scheme_rows(dt.graded_panel(spark, sf_dir, captures)), "rows")
         return _rounded(operator(rows, captures), **digits)
 
     QUERIES[name] = run
@@ -369,9 +368,8 @@ def _book(rows: DataFrame, captures: DataFrame) -> DataFrame:
 
 
 def _members(rows: DataFrame) -> DataFrame:
-    return settle(
-        sc.all_schemes(rows).select("scheme", "as_of", "capture_ord", "ticker", "alpha_1w", "alpha_1m", "alpha_3m")
-    )
+    picked = sc.all_schemes(rows).select("scheme", "as_of", "capture_ord", "ticker", "alpha_1w", "alpha_1m", "alpha_3m")
+    return stored(picked, "members")
 
 
 def _series(members: DataFrame) -> DataFrame:

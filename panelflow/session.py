@@ -49,11 +49,22 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Materialise a reduced table once, reliably, so that it can be counted and reused."""
+    """Materialise a small reduced table once, reliably, so that it can be counted and reused."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write a row-level table to the shared folder and read it back.
+
+    For tables several later steps read: the scan prunes columns and equal exchanges are reused,
+    which a checkpointed row set does not offer. Losing executors costs no recomputation.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def attach(big: DataFrame, stats: DataFrame, on: list[str], how: str = "left") -> DataFrame:
     """Join per-group statistics back to rows without shuffling rows on a skewed group key.
 

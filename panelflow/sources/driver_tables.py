@@ -118,10 +118,15 @@ def graded_panel(spark: SparkSession, sf_dir: str, captures: DataFrame | None =
     captures on, in hundredths, where the name is still on the export then."""
     w = Window.partitionBy("ticker").orderBy("capture_ord")
     panel = ratings_panel(spark, sf_dir, captures).withColumn("beta", F.col("vol_ann_pct") / 25.0)
+    # the record k captures on is among the next k records of the name
+    ahead = [F.lead(F.struct("capture_ord", "analyst_price_target"), j).over(w) for j in (1, 2, 3)]
+    panel = panel.withColumns({f"_a{j}": a for j, a in enumerate(ahead, 1)})
     for k, name in ((1, "alpha_1w"), (2, "alpha_1m"), (3, "alpha_3m")):
-        ahead = F.first("analyst_price_target").over(w.rangeBetween(k, k))
-        panel = panel.withColumn(name, (ahead / F.col("analyst_price_target") - 1.0) / 100.0)
-    return panel
+        level = F.coalesce(
+            *[F.when(F.col(f"_a{j}.capture_ord") == F.col("capture_ord") + k, F.col(f"_a{j}.analyst_price_target")) for j in range(1, k + 1)]
+        )
+        panel = panel.withColumn(name, (level / F.col("analyst_price_target") - 1.0) / 100.0)
+    return panel.drop("_a1", "_a2", "_a3")
 
 
 # ---- price and membership stand-ins --------------------------------------------------------

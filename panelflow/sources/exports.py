@@ -126,6 +126,22 @@ def keep_first(records: DataFrame, order: Sequence[str] = ROW_ORDER, key: Sequen
     )
 
 
+def snapshot(raw: DataFrame, as_of, order: Sequence[str] = ROW_ORDER) -> DataFrame:
+    """Raw export to de-duplicated snapshot records.
+
+    Only the key is normalised before the shuffle; cells are parsed afterwards, on the records
+    that are kept.
+    """
+    mapping, _ = map_headers([c for c in raw.columns if c not in order])
+    name = next((raw_name for raw_name, field in mapping.items() if field == "ticker"), None)
+    if name is None:
+        raise ValueError(f"no ticker or symbol column among {raw.columns}")
+    day = F.to_date(F.lit(as_of)) if isinstance(as_of, str) else as_of
+    keyed = raw.withColumn("_day", day).withColumn("_key", cells.key_cell(F.col(f"`{name}`"))).where("_key IS NOT NULL")
+    first = keep_first(keyed, order, ("_day", "_key"))
+    return normalise(first, F.col("_day"), [*order, "_day", "_key", "n_dropped"]).drop("_day", "_key")
+
+
 def capture_header(records: DataFrame, mapping: dict[str, str], unmapped: Sequence[str]) -> DataFrame:
     """One row per capture: weekday, weekend flag, counts and the header bookkeeping."""
     texts = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")

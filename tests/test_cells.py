@@ -102,7 +102,9 @@ def test_csv_pages_to_snapshot(spark, tmp_path):
     (tmp_path / "p2.csv").write_text("Ticker,Name,Price\nNVDA,Second,$9\naapl,Apple,(3.5%)\n", encoding="utf-8")
     raw = ex.read_pages(spark, [str(tmp_path), str(tmp_path / "p1.csv")])
     assert raw.count() == 5  # blank row dropped, repeated path dropped
-    snap = ex.keep_first(ex.normalise(raw, "2026-07-10"))
+    snap = ex.snapshot(raw, "2026-07-10")
+    early = ex.keep_first(ex.normalise(raw, "2026-07-10"))
+    assert early.select("ticker", "company", "price", "n_dropped").exceptAll(snap.select("ticker", "company", "price", "n_dropped")).isEmpty()
     got = {r["ticker"]: (r["company"], r["price"], r["n_dropped"]) for r in snap.collect()}
     assert got == {"NVDA": ("Nvidia", 201.16, 1), "AAPL": ("Apple", -3.5, 0), "NA": ("Nano", 2.0, 0)}
     assert "NA" not in {r["ticker"] for r in ex.normalise(ex.read_pages(spark, [str(tmp_path)], na_tokens=["NA"]), "2026-07-10").collect()}
