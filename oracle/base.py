@@ -117,5 +117,6 @@ elog AS (
   SELECT capture_ord, cap_ts, et, user_id AS ticker,
     CASE event_type WHEN 'purchase' THEN 0 WHEN 'signup' THEN 1 WHEN 'click' THEN 2 WHEN 'view' THEN 3 WHEN 'error' THEN 4 END AS lab,
     100e0 + floor(value / 20e0) * 0.1e0 AS best_target,
-    CAST(ts AS DATE) - CAST(event_id % 4 AS INTEGER) AS rating_date, value
+    CASE WHEN value > 150 THEN CAST(ts AS DATE) - CAST(event_id % 4 AS INTEGER)
+      ELSE DATE '2024-01-01' - CAST(user_id % 5 AS INTEGER) END AS rating_date, value
   FROM es WHERE rn = 1)"""

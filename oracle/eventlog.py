@@ -83,3 +83,5 @@ SELECT b.capture_ord AS w, count(*) AS paired, count(*) FILTER (b.lab < a.lab) A
   count(*) FILTER (b.best_target / a.best_target - 1 >= 0.0025e0) AS raises, count(*) FILTER (b.best_target / a.best_target - 1 <= -0.0025e0) AS cuts
 FROM elog b JOIN elog a ON a.ticker = b.ticker AND a.capture_ord = b.capture_ord - 1 GROUP BY 1"""
 SQL["stream_distinct_captures"] = "SELECT DISTINCT sha256(props) AS sha256 FROM events"
+SQL["identity_examples"] = f"""WITH {IDENT} SELECT ticker, moves FROM cls WHERE moves > 0 AND reverted AND rating_static
+ORDER BY moves DESC, ticker LIMIT 12"""

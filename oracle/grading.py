@@ -78,12 +78,13 @@ bk AS (SELECT bm.scheme, CAST(bm.capture_ord + d.i AS INTEGER) AS book_ord, tick
   FROM bm JOIN bn ON bn.scheme = bm.scheme AND bn.capture_ord = bm.capture_ord CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS i) d
   WHERE bm.capture_ord + d.i <= (SELECT max(capture_ord) FROM caps) GROUP BY 1, 2, 3)"""
 SQL["cohort_weights"] = f"WITH {BOOK} SELECT scheme, book_ord, ticker, {rnd('weight', 9)} AS weight, cohorts FROM bk"
-SQL["tiered_costs"] = f"""WITH {BOOK},
+TRADES = BOOK + """,
 td AS (SELECT a.scheme, a.ticker, a.book_ord, a.weight - coalesce(p.weight, 0) AS ch, a.adv_usd FROM bk a
     LEFT JOIN bk p ON p.scheme = a.scheme AND p.ticker = a.ticker AND p.book_ord = a.book_ord - 1
   UNION ALL SELECT a.scheme, a.ticker, a.book_ord + 1, -a.weight, a.adv_usd FROM bk a LEFT JOIN bk n ON n.scheme = a.scheme AND n.ticker = a.ticker
     AND n.book_ord = a.book_ord + 1 WHERE n.ticker IS NULL AND a.book_ord < (SELECT max(capture_ord) FROM caps)),
-tt AS (SELECT *, CASE WHEN adv_usd >= 1e8 THEN 3e0 WHEN adv_usd >= 25e6 THEN 8e0 WHEN adv_usd >= 10e6 THEN 15e0 END AS bps FROM td WHERE abs(ch) > 1e-12)
+tt AS (SELECT *, CASE WHEN adv_usd >= 1e8 THEN 3e0 WHEN adv_usd >= 25e6 THEN 8e0 WHEN adv_usd >= 10e6 THEN 15e0 END AS bps FROM td WHERE abs(ch) > 1e-12)"""
+SQL["tiered_costs"] = f"""WITH {TRADES}
 SELECT scheme, book_ord, count(*) AS n_trades, {rnd('sum(abs(ch)) / 2', 6)} AS turnover, {rnd('sum(abs(ch) * bps)', 6)} AS tiered_bps,
   {rnd('sum(abs(ch) * 0)', 6)} AS flat_0_bps, {rnd('sum(abs(ch) * 5)', 6)} AS flat_5_bps, {rnd('sum(abs(ch) * 10)', 6)} AS flat_10_bps,
   {rnd('sum(abs(ch) * 20)', 6)} AS flat_20_bps FROM tt GROUP BY 1, 2"""
@@ -180,3 +181,10 @@ l AS (SELECT as_of, a2, 'analyst' AS axis, CASE WHEN {rank('label')} <= 1 THEN 1
   UNION ALL SELECT as_of, a2, 'news', CASE news WHEN 'Bullish' THEN 1 WHEN 'Bearish' THEN -1 ELSE 0 END FROM gr)
 SELECT as_of, axis, {rnd('avg(a2) FILTER (side > 0)', 7)} AS positive_mean, {rnd('avg(a2) FILTER (side < 0)', 7)} AS negative_mean, count(*) AS names
 FROM l WHERE a2 IS NOT NULL AND side IS NOT NULL GROUP BY 1, 2"""
+
+SQL["book_net_alpha"] = f"""WITH {TRADES},
+g AS (SELECT bk.scheme, book_ord, sum(weight * a2) / sum(weight) AS gross FROM bk JOIN gr ON gr.ticker = bk.ticker AND gr.capture_ord = bk.book_ord
+  WHERE a2 IS NOT NULL GROUP BY 1, 2),
+c AS (SELECT scheme, book_ord, sum(abs(ch) * bps) AS cost FROM tt GROUP BY 1, 2)
+SELECT g.scheme, g.book_ord, {rnd('gross', 7)} AS gross, {rnd('coalesce(cost, 0)', 6)} AS cost_bps, {rnd('gross - coalesce(cost, 0) / 1e4', 7)} AS net
+FROM g LEFT JOIN c ON c.scheme = g.scheme AND c.book_ord = g.book_ord"""

@@ -139,3 +139,9 @@ SQL["sector_leaders"] = f"""WITH {VIEW},
 v AS (SELECT as_of, ticker, coalesce(sector, '—') AS sector, upside_per_vol FROM pview WHERE upside_per_vol IS NOT NULL),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY as_of, sector ORDER BY upside_per_vol DESC, ticker) AS INTEGER) AS place FROM v)
 SELECT as_of, sector, place, ticker, upside_per_vol FROM r WHERE place <= 3"""
+
+for _name, _k in (("latest_capture", 1), ("previous_capture", 2)):
+    SQL[_name] = f"""WITH {PANEL}, k AS (SELECT as_of, dense_rank() OVER (ORDER BY as_of DESC) AS k FROM (SELECT DISTINCT as_of FROM panel) q)
+SELECT panel.as_of, ticker, liquid FROM panel JOIN k ON k.as_of = panel.as_of WHERE k = {_k}"""
+SQL["revision_with_lens"] = f"""WITH {PAIRS} {VIEW[len(PANEL):]}
+SELECT em.as_of, em.ticker, rev_rank, lens_pass, upside_per_vol FROM em LEFT JOIN pview ON pview.as_of = em.as_of AND pview.ticker = em.ticker"""

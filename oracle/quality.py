@@ -84,3 +84,4 @@ SELECT key, count(*) AS n_rows FROM k JOIN pages ON contains(html, '"' || key ||
 SQL["guard_marker_scan"] = f"""WITH {PAIRS}, d(marker, hit) AS (VALUES ('"ticker"', TRUE), ('"company"', FALSE), ('"rows"', FALSE),
   ('"table"', FALSE), ('best_analyst_price_target', FALSE), ('last_rating_date', FALSE))
 SELECT marker, CASE WHEN hit THEN (SELECT count(*) FROM em) ELSE 0 END AS n_rows FROM d"""
+SQL["leak_offenders"] = SQL["leak_scan"] + " ORDER BY key LIMIT 10"

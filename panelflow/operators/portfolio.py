@@ -148,3 +148,11 @@ def score_risers(rows: DataFrame, value: str) -> DataFrame:
     return step.withColumn("score_move", tick).where(F.col("score_move").isNotNull() & F.col(value).isNotNull()).groupBy(
         "score_move"
     ).agg(F.count(F.lit(1)).alias("names"), F.avg(value).alias("mean"))
+
+
+def net_returns(gross: DataFrame, cost: DataFrame) -> DataFrame:
+    """Book value after tiered costs."""
+    joined = gross.join(cost.select("scheme", "book_ord", "tiered_bps"), ["scheme", "book_ord"], "left")
+    bps = F.coalesce("tiered_bps", F.lit(0.0))
+    net = F.col("mean") - bps / 10_000.0
+    return joined.select("scheme", "book_ord", F.col("mean").alias("gross"), bps.alias("cost_bps"), net.alias("net"))

@@ -512,3 +512,23 @@ def stream_distinct_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = stc.distinct_captures(headers, "sha256", "captured_at", "3650 days")
     stc.run_available(kept, stc.batch_writer(f"{root}/out"), f"{root}/state")
     return spark.read.parquet(f"{root}/out").select("sha256")
+
+
+# ---- reports over the families above -------------------------------------------------------
+
+on_panel("latest_capture", lambda p: cs.nth_latest(p, 1).select("as_of", "ticker", "liquid"))
+on_panel("previous_capture", lambda p: cs.nth_latest(p, 2).select("as_of", "ticker", "liquid"))
+on_panel(
+    "revision_with_lens",
+    lambda p: rv.with_lens(rv.revision_rows(p), p).select("as_of", "ticker", "rev_rank", "lens_pass", "upside_per_vol"),
+)
+on_log("identity_examples", lambda log, caps: idn.examples(idn.classify(log, caps), 12).select("ticker", "moves"))
+QUERIES["leak_offenders"] = lambda spark, sf_dir: gd.offenders(leak_scan(spark, sf_dir))
+
+
+def _net(rows: DataFrame, captures: DataFrame) -> DataFrame:
+    book = stored(_book(rows, captures), "book")
+    return pf.net_returns(pf.book_returns(book, rows, "alpha_1m"), pf.costs(pf.trades(book, _last(captures))))
+
+
+graded("book_net_alpha", _net, gross=7, cost_bps=6, net=7)

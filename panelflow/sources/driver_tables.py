@@ -257,7 +257,10 @@ def event_log(spark: SparkSession, sf_dir: str, captures: DataFrame | None = Non
         F.col("user_id").alias("ticker"),
         label.alias("analyst_consensus"),
         (F.lit(100.0) + F.floor(F.col("value") / 20.0).cast("double") * F.lit(0.1)).alias("best_analyst_price_target"),
-        F.date_sub(F.to_date("ts"), (F.col("event_id") % 4).cast("int")).alias("rating_date"),
+        # large events restamp the rating date; otherwise the name keeps its opening date
+        F.when(F.col("value") > 150, F.date_sub(F.to_date("ts"), (F.col("event_id") % 4).cast("int")))
+        .otherwise(F.date_sub(F.lit("2024-01-01").cast("date"), (F.col("user_id") % 5).cast("int")))
+        .alias("rating_date"),
         F.col("value"),
     )
 

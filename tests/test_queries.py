@@ -38,6 +38,22 @@ def test_scans_read_only_what_they_use(spark):
     assert "l_comment" not in plan and "l_tax" not in plan and "l_returnflag" not in plan
 
 
+def plan_of(spark, name):
+    return QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_events_are_combined_before_they_are_shuffled(spark):
+    """A key with a third of all rows must leave a task as one row per capture."""
+    plan = plan_of(spark, "revision_entered")
+    assert "partial_max_by" in plan and plan.index("max_by") < plan.index("partial_max_by")
+    assert "partial_min_by" in plan_of(spark, "dedupe_keep_first")
+
+
+@pytest.mark.parametrize("name", ["sector_leaders", "capped_top20"])
+def test_top_k_is_limited_inside_tasks(spark, name):
+    assert "WindowGroupLimit" in plan_of(spark, name)
+
+
 def test_entry(spark):
     df = entry_points.entry(spark)
     assert df.count() > 0 and "upgrades" in df.columns
