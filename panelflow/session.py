@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,15 +30,21 @@ def build(master: str | None = None, app: str = "panelflow", **conf) -> SparkSes
     return b.getOrCreate()
 
 
+_own: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as the cluster names it in spark.checkpoint.dir.
 
-    A temporary folder is used only where the setting is absent (local tests).
+    Only a local master, where driver and executors are one process, may leave the setting out.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
-        named = tempfile.mkdtemp(prefix="panelflow-")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = f"{spark.conf.get('spark.local.dir', '/tmp')}/panelflow-{sc.applicationId}"
+        _own.append(named)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
     return named

@@ -4,9 +4,10 @@ import pytest
 from check_oracle import compare, duck
 
 import __spark_entry__ as entry_points
+from oracle import ORACLE_SQL as ORACLE
+from panelflow.plans.catalogue import QUERIES
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLE = entry_points.queries(), entry_points.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -16,6 +17,7 @@ def con():
 
 def test_every_query_has_an_oracle():
     assert set(ORACLE) == set(QUERIES)
+    assert set(QUERIES) <= set(entry_points.queries()) and set(ORACLE) <= set(entry_points.oracle_sql())
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
