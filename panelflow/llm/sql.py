@@ -22,15 +22,15 @@ p AS (
     length(replace(replace(replace(replace(role, '\', '\b'), '<', '\l'), '[', '\o'), chr(10), '\n'))
       + length(replace(replace(replace(text, '\', '\b'), '<', '\l'), '[', '\o')) + 8 + 1 + 7 AS chars
   FROM t WINDOW o AS (PARTITION BY conv_id ORDER BY turn, role, text)),
-q AS (SELECT *, tok > 384 AS big, coalesce(sum(tok) OVER b, 0) AS at,
+q AS (SELECT *, tok > 384 AS big, coalesce(sum(tok) OVER b, 0) AS pre,
         coalesce(sum(CASE WHEN tok > 384 THEN 1 ELSE 0 END) OVER b, 0) AS bigs
       FROM p WINDOW b AS (PARTITION BY conv_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-k AS (SELECT *, struct_pack(a := bigs, b := big, c := CASE WHEN NOT big THEN floor(at / 384) ELSE -1 END) AS cell FROM q),
+k AS (SELECT *, struct_pack(a := bigs, b := big, c := CASE WHEN NOT big THEN floor(pre / 384) ELSE -1 END) AS cell FROM q),
 s AS (SELECT *, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY no) - 1 AS span FROM (
         SELECT *, no = 0 OR cell IS DISTINCT FROM lag(cell) OVER (PARTITION BY conv_id ORDER BY no) AS opens FROM k)),
-o AS (SELECT conv_id, span, at FROM s WHERE opens),
+o AS (SELECT conv_id, span, pre FROM s WHERE opens),
 rep AS (SELECT s.conv_id, sum(s.chars) AS chars FROM s JOIN o ON s.conv_id = o.conv_id AND o.span > s.span
-        AND (CASE WHEN s.no = 0 AND s.role = 'system' THEN TRUE ELSE o.at - s.at <= 256 END) GROUP BY 1),
+        AND (CASE WHEN s.no = 0 AND s.role = 'system' THEN TRUE ELSE o.pre - s.pre <= 256 END) GROUP BY 1),
 c AS (
   SELECT conv_id, count(*) AS n_turns, sum(chars) AS chars,
     sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY no)) AS turns_sha256,
