@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelflow.llm import chat, exact_dedup, quality, secrets, sharding, toxicity
+from panelflow.llm import chat, exact_dedup, packing, quality, secrets, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -22,6 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    """Place of the vocabulary file; PANELFLOW_TOKENIZER names another one."""
+    import public_tokenizers
+
+    return os.environ.get("PANELFLOW_TOKENIZER") or public_tokenizers.path("word_bpe_49k.json")
+
+
 @query
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
@@ -55,3 +63,8 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
