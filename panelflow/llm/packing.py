@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +19,9 @@ END_ID = 1  # closes every document
 LENGTH = 2048  # longest sequence
 SENTENCE_COST = 0.25  # a cut between two sentences of a document, in units of one padding token
 WORD_COST = 4.0  # a cut inside a sentence
-FINE_EVERY = 24  # inside a longer sentence a cut may lie after about every so many tokens
+FINE_EVERY = 32  # inside a longer sentence a cut may lie after about every so many tokens
 BLOCK_TOKENS = 1 << 19  # tokens planned together; the last open sequence moves on to the next block
-KNOWN_WORDS = 400_000  # words remembered by a task
+KNOWN_WORDS = 800_000  # words remembered by a task
 
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -36,25 +38,25 @@ def plan(ends: np.ndarray, costs: np.ndarray, length: int = LENGTH, final: bool
     """
     pos = [0, *ends.tolist()]
     cost = [0.0, *costs.tolist()]
-    number = {p: k for k, p in enumerate(pos)}
-    powers = [1 << k for k in range(length.bit_length() - 1) if 1 << k >= 64]
+    exact = _exact_windows(np.asarray(pos), length)
     f, back = [0.0] * len(pos), [0] * len(pos)
-    queue: deque[int] = deque([0])
+    queue: deque[tuple[float, int, int]] = deque([(0.0, 0, 0)])  # f(i) + i, position, number
     for j in range(1, len(pos)):
         at = pos[j]
-        while pos[queue[0]] < at - length:
+        while queue[0][1] < at - length:
             queue.popleft()
-        i = queue[0]
-        best, come = f[i] + pos[i] + length - at, i
-        for size in powers:
-            k = number.get(at - size)
-            if k is not None and f[k] < best:
-                best, come = f[k], k
-        f[j], back[j] = best + cost[j], come
-        value = f[j] + at
-        while queue and f[queue[-1]] + pos[queue[-1]] >= value:
+        best, _, come = queue[0]
+        best += length - at
+        if j in exact:
+            for k in exact[j]:
+                if f[k] < best:
+                    best, come = f[k], k
+        best += cost[j]
+        f[j], back[j] = best, come
+        best += at
+        while queue and queue[-1][0] >= best:
             queue.pop()
-        queue.append(j)
+        queue.append((best, at, j))
     last = len(pos) - 1
     if final:
         tail = _powers_of_two(pos, f, back, last, length)
@@ -69,6 +71,18 @@ def plan(ends: np.ndarray, costs: np.ndarray, length: int = LENGTH, final: bool
     return [0, *reversed(cuts), *tail]
 
 
+def _exact_windows(pos: np.ndarray, length: int) -> dict[int, list[int]]:
+    """For each cut, the earlier cuts that lie a power of two (64 up to half a window) before it."""
+    found: dict[int, list[int]] = {}
+    size = 64
+    while size < length:
+        at = np.minimum(np.searchsorted(pos, pos - size), len(pos) - 1)
+        for j in np.flatnonzero(pos[at] == pos - size).tolist():
+            found.setdefault(j, []).append(int(at[j]))
+        size *= 2
+    return found
+
+
 def _powers_of_two(pos, f, back, last, length) -> list[int]:
     """The end of a stream may be short of a window: its last window is cut to powers of two."""
     begin = pos[back[last]]
@@ -83,52 +97,111 @@ def _powers_of_two(pos, f, back, last, length) -> list[int]:
     return tail
 
 
+_ALNUM, _MARK, _CAPITAL = (np.zeros(256, bool) for _ in range(3))
+for _a, _b in (("0", "9"), ("a", "z"), ("A", "Z")):
+    _ALNUM[ord(_a):ord(_b) + 1] = True
+_CAPITAL[ord("A"):ord("Z") + 1] = True
+_MARK[0x21:0x7F] = ~_ALNUM[0x21:0x7F]
+_MARK[[ord("'"), ord("|")]] = False  # contractions and special strings hold these
+
+
+def _fragments(found: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words cut further where no token can reach across, in lower case; and which fragments end a word.
+
+    Cuts lie between an ASCII letter or digit and an ASCII mark other than ' and |. A-Z are lowered unless a
+    character outside ASCII follows, with which the letter might combine, or "<|" occurs, which may open a
+    special string. The fragments have the same ids as the words, and fewer of them are distinct.
+    """
+    ends = np.frombuffer(found.buffers()[1], np.int32, len(found) + 1)
+    data = np.frombuffer(found.buffers()[2], np.uint8, ends[-1])
+    if not len(data):
+        return found, np.zeros(0, bool)
+    border = (_ALNUM[data[:-1]] & _MARK[data[1:]]) | (_MARK[data[:-1]] & _ALNUM[data[1:]])
+    border[ends[1:-1] - 1] = True
+    if b"<|" not in data.tobytes():
+        low = _CAPITAL[data]
+        low[:-1] &= (data[1:] < 0x80) | border
+        data = data + low.astype(np.uint8) * 32
+    edges = np.concatenate([[0], np.flatnonzero(border) + 1, [len(data)]]).astype(np.int32)
+    closes = np.isin(edges[1:], ends[1:], assume_unique=True)
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(data)]), closes
+
+
 class Encoder:
     """Token ids of texts by way of their distinct words, which the tokenizer meets once.
 
     The vocabulary's normaliser drops white space and no token crosses it, so the ids of a text are those of its
-    words in order. Special strings hold no white space either.
+    words in order. Special strings hold no white space either. A worker process keeps its encoder.
     """
 
+    _kept: dict[str, Encoder] = {}
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, np.ndarray] = {}
-
-    def vocabulary(self, distinct: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the words, one after the other, and their numbers."""
+        self.forget()
+
+    @classmethod
+    def of(cls, path: str) -> Encoder:
+        if path not in cls._kept:
+            cls._kept[path] = cls(path)
+        return cls._kept[path]
+
+    def forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.flat, self.ends = np.empty(1 << 20, np.uint32), np.zeros(KNOWN_WORDS + 1, np.int64)
+
+    def number(self, distinct: list[bytes]) -> np.ndarray:
+        """Numbers of the words among the known ones; new words are learned."""
+        if len(self.known) + len(distinct) > KNOWN_WORDS:
+            self.forget()
         known = self.known
-        new = [w for w in distinct if w not in known]
-        if len(known) + len(new) > KNOWN_WORDS:
-            known.clear()
-            new = distinct
-        for at in range(0, len(new), 4096):
-            some = new[at:at + 4096]
+        if len(distinct) > KNOWN_WORDS:  # one text of very many words
+            self.ends = np.zeros(len(distinct) + 1, np.int64)
+        got = np.fromiter(map(known.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = [distinct[i] for i in np.flatnonzero(got < 0)]
+        for at in range(0, len(new), 8192):
+            some = new[at:at + 8192]
             coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
-            known.update(zip(some, [np.array(e.ids, np.uint32) for e in coded]))
-        rows = [known[w] for w in distinct]
-        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-        return (np.concatenate(rows) if rows else np.empty(0, np.uint32)), sizes
+            rows = [e.ids for e in coded]
+            sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+            ids = np.fromiter(chain.from_iterable(rows), np.uint32, int(sizes.sum()))
+            n = len(known)
+            end = int(self.ends[n]) + len(ids)
+            if end > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.empty(max(end, len(self.flat)), np.uint32)])
+            self.flat[end - len(ids):end] = ids
+            self.ends[n + 1:n + 1 + len(rows)] = self.ends[n] + np.cumsum(sizes)
+            known.update(zip(some, range(n, n + len(some))))
+        if new:
+            got[got < 0] = np.arange(len(known) - len(new), len(known))
+        return got
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts with END_ID after each; tokens per text; then where sentences and words end."""
         found, counts = words.split(texts)
-        distinct, codes = words.coded(found)
-        flat, sizes = self.vocabulary(distinct)
-        starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-        stops = np.fromiter((w[-1:] in b".!?" for w in distinct), bool, len(distinct))
-        per_word = sizes[codes]
+        parts, closes = _fragments(found)
+        distinct, codes = words.coded(parts)
+        number = self.number(distinct)
+        begins = self.ends[number]
+        sizes = self.ends[number + 1] - begins
+        per_part = sizes[codes]
+        # a word ends with its last fragment, a sentence where that ends with a mark
+        stops = np.fromiter((w[-1] in b".!?" for w in distinct), bool, len(distinct))[codes][closes]
+        until = np.concatenate([[0], np.cumsum(per_part)])
+        begin = np.concatenate([[0], until[1:][closes]])
+        per_word = np.diff(begin)
         own = words.owners(counts)
         # a closing id follows each text: shift words by the texts before them
-        begin = np.concatenate([[0], np.cumsum(per_word)])
         to = begin[1:] + own
         ids = np.full(begin[-1] + len(counts), END_ID, np.uint32)
         place = np.arange(begin[-1]) + np.repeat(own, per_word)
-        ids[place] = flat[np.repeat(starts[codes] - begin[:-1], per_word) + np.arange(begin[-1])]
+        ids[place] = self.flat[np.repeat(begins[codes] - until[:-1], per_part) + np.arange(until[-1])]
         first = np.concatenate([[0], np.cumsum(counts)])
         tokens = begin[first[1:]] - begin[first[:-1]] + 1
-        return ids, tokens, to[stops[codes]], to
+        return ids, tokens, to[stops], to
 
 
 def _boundaries(doc_ends: np.ndarray, sentence_ends: np.ndarray, word_ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -227,9 +300,9 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        packer = Packer(Encoder(tokenizer_path), TaskContext.get().partitionId() << 32, length)
+        packer = Packer(Encoder.of(tokenizer_path), TaskContext.get().partitionId() << 32, length)
         for batch in batches:
-            for part in words.pieces(batch, limit=1 << 20):
+            for part in words.pieces(batch, limit=2 << 20):
                 for out in packer.add(part.column(0), part.column(1)):
                     yield _batch(out, id_col)
         while packer.pending:
