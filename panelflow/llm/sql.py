@@ -40,3 +40,16 @@ SELECT c.conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss
   CAST(c.chars + coalesce(rep.chars, 0) AS BIGINT) AS formatted_chars
 FROM c LEFT JOIN rep ON c.conv_id = rep.conv_id
 """
+
+SQL["op9_substring_dedup"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS p FROM d WHERE len(w) >= 20),
+k AS (SELECT doc_id, p, row_number() OVER (PARTITION BY array_to_string(list_slice(w, p, p + 19), ' ') ORDER BY doc_id, p) AS rn FROM s),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS i FROM k WHERE rn > 1),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+j AS (SELECT words.doc_id, words.i, word, gone.i IS NOT NULL AS g FROM words LEFT JOIN gone ON words.doc_id = gone.doc_id AND words.i = gone.i),
+a AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE g) AS n_removed,
+        coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT g), '') AS kept FROM j GROUP BY doc_id)
+SELECT documents.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN a ON documents.doc_id = a.doc_id
+"""

@@ -79,15 +79,46 @@ def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
 
 
 def grams(h: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
-    """Hash of the n words that begin at each position (len(h) - n + 1 values)."""
+    """Hash of the n words that begin at each position (len(h) - n + 1 values), by doubling."""
     if len(h) < n:
         return np.empty(0, np.uint64)
-    out = mixed(h[:len(h) - n + 1], seed)
-    for i in range(1, n):
-        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + h[i:len(h) - n + 1 + i], seed)
-    return out
+    power, size, out, have = mixed(h, seed), 1, None, 0
+    while True:
+        if n & size:  # the words from `have` on are covered by a power-sized gram
+            if out is None:
+                out = power
+            else:
+                m = min(len(out), len(power) - have)
+                out = mixed(out[:m] * np.uint64(0x9E3779B97F4A7C15) + power[have:have + m], seed)
+            have += size
+        if have == n:
+            return out[:len(h) - n + 1]
+        m = len(power) - size
+        power = mixed(power[:m] * np.uint64(0xC2B2AE3D27D4EB4F) + power[size:], seed)
+        size *= 2
 
 
 def owners(counts: np.ndarray) -> np.ndarray:
     """Number of the text that each word belongs to."""
     return np.repeat(np.arange(len(counts)), counts)
+
+
+def joined(found: pa.Array, counts: np.ndarray, keep: np.ndarray) -> pa.Array:
+    """Of each text the words marked in `keep`, joined by one space."""
+    ends = np.frombuffer(found.buffers()[1], np.int32, len(found) + 1).astype(np.int64)
+    raw = found.buffers()[2]
+    data = np.frombuffer(raw, np.uint8, ends[-1]) if raw is not None else np.empty(0, np.uint8)
+    sizes = np.diff(ends)
+    data, sizes = data[np.repeat(keep, sizes)], sizes[keep]
+    left = np.diff(np.concatenate([[0], np.cumsum(keep)])[np.concatenate([[0], np.cumsum(counts)])])
+    # one space after every word but the last of its text
+    first = np.concatenate([[0], np.cumsum(left)])
+    space = np.ones(len(sizes), np.int64)
+    space[first[1:][left > 0] - 1] = 0
+    stop = np.cumsum(sizes + space)
+    out = np.full(stop[-1] if len(stop) else 0, 0x20, np.uint8)
+    body = np.ones(len(out), bool)
+    body[(stop - 1)[space == 1]] = False
+    out[body] = data
+    offsets = np.concatenate([[0], stop])[first].astype(np.int32)
+    return pa.Array.from_buffers(pa.string(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(out)])
