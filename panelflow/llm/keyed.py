@@ -13,8 +13,8 @@ from panelflow.session import stored
 BLOCK_BYTES = 8 << 20  # text that one block of documents, or one bucket of their hashes, stands for
 
 
-def with_keys(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
-    """Rows (key long, id, text) whose keys differ and ascend with the ids, and the number of blocks.
+def with_keys(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int, bool]:
+    """Rows (key long, id, text) whose keys differ and ascend with the ids; the number of blocks; whether key is id.
 
     Integer ids without nulls and repeats are their own keys. Other tables are sorted once by id (nulls last),
     then by the text's hash, written to the shared folder and numbered in that order.
@@ -24,9 +24,9 @@ def with_keys(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, i
     size = rows.agg(F.sum(F.octet_length("text")), F.count(F.when(F.col("id").isNull(), 1))).first()
     blocks = max(8, -(-(size[0] or 0) // BLOCK_BYTES))
     if whole and not size[1] and rows.groupBy("id").count().filter("count > 1").isEmpty():
-        return rows.select(F.col("id").cast("long").alias("key"), "id", "text"), blocks
+        return rows.select(F.col("id").cast("long").alias("key"), "id", "text"), blocks, True
     ordered = rows.orderBy(F.col("id").asc_nulls_last(), F.xxhash64("text"))
-    return stored(ordered.select(F.monotonically_increasing_id().alias("key"), "id", "text"), "keyed"), blocks
+    return stored(ordered.select(F.monotonically_increasing_id().alias("key"), "id", "text"), "keyed"), blocks, False
 
 
 def binary(values: np.ndarray, cuts: np.ndarray) -> pa.Array:

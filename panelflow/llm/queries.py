@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelflow.llm import chat, decontaminate, exact_dedup, packing, quality, secrets, sharding, substrings, toxicity
+from panelflow.llm import chat, decontaminate, exact_dedup, near_join, packing, quality, secrets, sharding, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -79,3 +79,9 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rule = near_join.Join(k=3, num=9, den=10)
+    return near_join.near_classes(table(spark, sf_dir, "documents"), rule).select("doc_id", "n_shingles", "component_id")

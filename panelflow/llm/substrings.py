@@ -189,7 +189,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null and empty texts have no words. Rows that repeat an id are ordered by their text's hash, and the
     later one counts as later; rows with null ids come last. An empty table gives an empty table.
     """
-    rows, blocks = keyed.with_keys(docs, id_col, text_col)
+    rows, blocks, _ = keyed.with_keys(docs, id_col, text_col)
     met = rows.select("key", "text").mapInArrow(_anchors(blocks), ANCHORS).groupBy("bucket")
     anchors = met.applyInArrow(_repeated_anchors(blocks), MARKS)
     # any integer hash of the key will do, as long as numpy computes the same
