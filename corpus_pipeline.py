@@ -1,8 +1,72 @@
-"""Corpus pipeline: quality, exact copies, near copies, benchmark passages, packing."""
+"""Corpus pipeline: quality, exact copies, near copies, benchmark passages, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as
+the next stage's docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from panelflow.llm import decontaminate, exact_dedup, keyed, labelled, near_join, packing, quality
+from panelflow.llm.queries import table, tokenizer_path
+from panelflow.session import stored
+
+ROW = "_row_number"
+
+
+def _identified(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents and a column that tells their rows apart: doc_id, or a number where ids are missing or repeated."""
+    if keyed.plain(docs, "doc_id"):
+        return docs, "doc_id"
+    return keyed.numbered(docs, "doc_id", "text", ROW), ROW
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, fitted on the labelled ones among them, does not reject."""
+    sample = labelled.sample(docs, table(spark, sf_dir, "labels"), "quality", 3, 1, quality.SAMPLE)
+    return quality.keep_good(docs, quality.fit(sample))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    docs, key = _identified(docs)
+    kept = exact_dedup.deduplicate(docs, key).filter("kept").select(key)
+    return docs.join(kept, key, "left_semi").drop(ROW)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of 5-word shingle similarity 0.8: the one with the smallest id."""
+    docs, key = _identified(docs)
+    classes = near_join.near_classes(docs, near_join.Join(k=5, num=4, den=5), key)
+    kept = classes.filter(F.col(key) == F.col("component_id")).select(key)
+    return docs.join(kept, key, "left_semi").drop(ROW)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark passage."""
+    docs, key = _identified(docs)
+    leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"), key).select(key).distinct()
+    return docs.join(leaks, key, "left_anti").drop(ROW)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 2048 tokens."""
+    return packing.pack(docs, tokenizer_path())
+
+
+STAGES = [
+    ("quality", keep_quality), ("exact_dedup", drop_copies), ("near_join", drop_near_copies),
+    ("decontamination", drop_leaks), ("packing", pack),
+]
+
+# the classifier's training and the packing plan are beyond SQL; tests/llm compares with brute force
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

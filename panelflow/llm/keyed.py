@@ -13,20 +13,34 @@ from panelflow.session import stored
 BLOCK_BYTES = 8 << 20  # text that one block of documents, or one bucket of their hashes, stands for
 
 
+def plain(docs: DataFrame, id_col: str) -> bool:
+    """Whether the ids are integers without nulls and repeats."""
+    if not isinstance(docs.schema[id_col].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return False
+    odd = docs.groupBy(F.col(id_col).alias("id")).count().filter("id IS NULL OR count > 1")
+    return odd.isEmpty()
+
+
+def numbered(docs: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
+    """All columns and a row number under `name` that sorts like the id (nulls last), then the text's hash.
+
+    Sorted once and written to the shared folder, so that the numbers never change.
+    """
+    ordered = docs.orderBy(F.col(id_col).asc_nulls_last(), F.xxhash64(text_col))
+    return stored(ordered.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
 def with_keys(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int, bool]:
     """Rows (key long, id, text) whose keys differ and ascend with the ids; the number of blocks; whether key is id.
 
-    Integer ids without nulls and repeats are their own keys. Other tables are sorted once by id (nulls last),
-    then by the text's hash, written to the shared folder and numbered in that order.
+    Integer ids without nulls and repeats are their own keys; rows of other tables are numbered.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    whole = isinstance(rows.schema["id"].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
-    size = rows.agg(F.sum(F.octet_length("text")), F.count(F.when(F.col("id").isNull(), 1))).first()
-    blocks = max(8, -(-(size[0] or 0) // BLOCK_BYTES))
-    if whole and not size[1] and rows.groupBy("id").count().filter("count > 1").isEmpty():
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(8, -(-size // BLOCK_BYTES))
+    if plain(rows, "id"):
         return rows.select(F.col("id").cast("long").alias("key"), "id", "text"), blocks, True
-    ordered = rows.orderBy(F.col("id").asc_nulls_last(), F.xxhash64("text"))
-    return stored(ordered.select(F.monotonically_increasing_id().alias("key"), "id", "text"), "keyed"), blocks, False
+    return numbered(rows, "id", "text", "key").select("key", "id", "text"), blocks, False
 
 
 def binary(values: np.ndarray, cuts: np.ndarray) -> pa.Array:

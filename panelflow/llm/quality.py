@@ -168,6 +168,22 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
     return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, score double")
 
 
+def keep_good(docs: DataFrame, weights: np.ndarray, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows whose score reaches the threshold, with all their columns, in the pass that scores them."""
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = shared.value
+        for batch in batches:
+            for part in words.pieces(batch, at):
+                number, own, value = features(part.column(at))
+                total = w[-1] + SCALE * np.bincount(own, w[number] * value, part.num_rows)
+                yield part.filter(pa.array(sigmoid(total) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, sample: int = SAMPLE,
              threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fit on labels outside the held-out fold, score every row: id, held_out, score, predicted."""
