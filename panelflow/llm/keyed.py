@@ -46,7 +46,7 @@ def with_keys(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, i
 def binary(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
     """The values between successive cuts, each run as one binary value."""
     raw = np.ascontiguousarray(values)
-    offsets = (cuts * raw.itemsize).astype(np.int32)
+    offsets = (cuts * raw.itemsize * int(np.prod(raw.shape[1:]))).astype(np.int32)
     return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
-from collections.abc import Iterator
+import operator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelflow.llm import keyed, words
@@ -19,10 +20,13 @@ BAND_RATIO = 1.5  # largest to smallest set size of a band
 SPLIT_ABOVE = 256  # members of a signature beyond which it is divided by a second sketch
 MAX_LEVEL = 3  # sketches that divide one signature, at most
 
-MET = "bucket int, kind int, sig binary, sig2 binary, a binary, hub binary, n binary"
-EDGES = "kind int, sig binary, a binary, hub binary, n binary"
-_COLUMNS = {"sig": np.uint64, "sig2": np.uint64, "a": np.int64, "hub": np.int64, "n": np.int64}
+MET = "bucket int, kind int, sig binary, sig2 binary, a binary, hub binary, n binary, print binary"
+EDGES = "kind int, sig binary, a binary, hub binary, n binary, print binary"
+_COLUMNS = {"sig": np.uint64, "sig2": np.uint64, "a": np.int64, "hub": np.int64, "n": np.int64, "print": np.uint64}
 SKETCH, LOCAL_EDGE, SET, LOCAL_COPY = range(4)  # kinds of rows that meet in a bucket
+EDGE, CLASS, LEAD = range(3)  # kinds of rows that leave it
+PRINT_WORDS = 8  # 64-bit words of the fixed-size sketch that filters pairs
+PRINT = [f"w{i}" for i in range(PRINT_WORDS)]
 
 
 @dataclass(frozen=True)
@@ -91,6 +95,18 @@ def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+def prints(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Parity sketch of PRINT_WORDS * 64 bits of each set, whose tokens ascend."""
+    out = np.zeros(len(sizes) * PRINT_WORDS, np.uint64)
+    if len(tokens):
+        width = PRINT_WORDS.bit_length() - 1
+        place = words.owners(sizes) * PRINT_WORDS + (tokens >> np.uint64(64 - width)).astype(np.int64)
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1])
+        bit = np.uint64(1) << (tokens >> np.uint64(58 - width) & np.uint64(63))
+        out[place[cut]] = np.bitwise_xor.reduceat(bit, cut)
+    return out.reshape(-1, PRINT_WORDS)
+
+
 def signatures(tokens: np.ndarray, sizes: np.ndarray, join: Join, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of sets given by their tokens (ascending inside a set), and the set each belongs to.
 
@@ -178,9 +194,9 @@ def _sketches(join: Join, buckets: int):
                 rep[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1] if len(order) else order
                 lead = rep == np.arange(len(rep))
                 at = (d1 % np.uint64(buckets)).astype(np.int32)
-                yield from _rows(at[lead], SET, sig=d1[lead], sig2=d2[lead], a=key[lead], n=sizes[lead].astype(np.int64))
-                yield from _rows(at[~lead], LOCAL_COPY, a=key[~lead], hub=key[rep[~lead]], n=sizes[~lead].astype(np.int64))
-                tokens, kept = tokens[np.repeat(lead, sizes)], sizes[lead]
+                tokens, kept, number = tokens[np.repeat(lead, sizes)], sizes[lead], sizes.astype(np.int64)
+                yield from _rows(at[lead], SET, sig=d1[lead], sig2=d2[lead], a=key[lead], n=number[lead], print=prints(tokens, kept))
+                yield from _rows(at[~lead], LOCAL_COPY, a=key[~lead], hub=key[rep[~lead]], n=number[~lead])
                 sig, of = signatures(tokens, kept, join)
                 mine = key[lead][of]
                 order, new, hub = _stars(sig, mine)
@@ -210,15 +226,17 @@ def _meet(table: pa.Table) -> pa.Table:
     order = np.lexsort((key, d2, d1))
     x, y = d1[order], d2[order]
     new = np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])) if len(order) else np.zeros(0, bool)
-    lead = key[order][np.flatnonzero(new)][np.cumsum(new) - 1] if len(order) else key
+    opens = order[np.flatnonzero(new)]
+    lead = key[opens][np.cumsum(new) - 1] if len(order) else key
     copy = part[LOCAL_COPY]
     classes = {
-        "sig": np.zeros(0, np.uint64), "a": np.concatenate([key[order], _column(copy, "a")]),
-        "hub": np.concatenate([lead, _column(copy, "hub")]), "n": np.concatenate([n[order], _column(copy, "n")])}
-    rows = [(0, edges), (1, classes)]
+        "a": np.concatenate([key[order], _column(copy, "a")]), "hub": np.concatenate([lead, _column(copy, "hub")]),
+        "n": np.concatenate([n[order], _column(copy, "n")])}
+    leads = {"a": key[opens], "n": n[opens], "print": _column(part[SET], "print").reshape(-1, PRINT_WORDS)[opens]}
+    rows = [(EDGE, edges), (CLASS, classes), (LEAD, leads)]
     return pa.table({
         "kind": pa.array([k for k, _ in rows], pa.int32()),
-        **{c: pa.array([r[c].tobytes() if c in r else b"" for _, r in rows], pa.binary()) for c in ("sig", "a", "hub", "n")}})
+        **{c: pa.array([r[c].tobytes() if c in r else b"" for _, r in rows], pa.binary()) for c in ("sig", "a", "hub", "n", "print")}})
 
 
 def _unpack(edges: DataFrame, kind: int, names: list[str], distinct: bool = False) -> DataFrame:
@@ -226,12 +244,15 @@ def _unpack(edges: DataFrame, kind: int, names: list[str], distinct: bool = Fals
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in names)):
-                columns = [np.frombuffer(v or b"", _COLUMNS[c]).astype(np.int64) for c, v in zip(names, row)]
+                columns = [np.frombuffer(v or b"", _COLUMNS[c]).view(np.int64) for c, v in zip(names, row)]
+                if names[-1] == "print":
+                    columns[-1:] = columns[-1].reshape(-1, PRINT_WORDS).T
                 if distinct and len(columns[0]):
                     columns = list(np.unique(np.stack(columns), axis=1))
                 for at in range(0, len(columns[0]), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[at:at + (1 << 16)]) for c in columns], names)
-    return edges.filter(F.col("kind") == kind).select(*names).mapInArrow(run, ", ".join(f"{c} long" for c in names))
+                    yield pa.RecordBatch.from_arrays([pa.array(c[at:at + (1 << 16)]) for c in columns], out)
+    out = [*names[:-1], *PRINT] if names[-1] == "print" else names
+    return edges.filter(F.col("kind") == kind).select(*names).mapInArrow(run, ", ".join(f"{c} long" for c in out))
 
 
 def _token_sets(join: Join):
@@ -269,6 +290,18 @@ def _component(nodes: DataFrame, on: str, parts: DataFrame) -> DataFrame:
     return nodes.join(renamed, on, "left").withColumn(f"{on}_comp", F.coalesce(f"{on}_comp", on))
 
 
+def _near_enough(join: Join, x: str, y: str) -> Column:
+    """Whether two sets may be linked by their sizes and prints: prints differ in no more bits than sets in tokens."""
+    differ = reduce(operator.add, [F.bit_count(F.col(x + w).bitwiseXOR(F.col(y + w))) for w in PRINT])
+    return (F.least(x + "n", y + "n") * join.den >= F.greatest(x + "n", y + "n") * join.num) & (
+        differ * (join.den + join.num) <= (F.col(x + "n") + F.col(y + "n")) * (join.den - join.num))
+
+
+def _with_prints(pairs: DataFrame, leads: DataFrame, on: str) -> DataFrame:
+    named = leads.select(F.col("a").alias(on), *[F.col(c).alias(f"{on}_{c}") for c in ("n", *PRINT)])
+    return pairs.join(named, on)
+
+
 def _divide(members: DataFrame, sets: DataFrame, join: Join, level: int) -> DataFrame:
     """Members (sig, rep, comp) under signatures that join the old one with those of another sketch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,8 +319,8 @@ def _divide(members: DataFrame, sets: DataFrame, join: Join, level: int) -> Data
     return held.select("sig", "rep", "comp", "tokens").mapInArrow(run, "sig long, rep long, comp long").distinct()
 
 
-def _open_pairs(members: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
-    """Pairs of members of one signature that lie in different components so far.
+def _open_pairs(members: DataFrame, leads: DataFrame, fetch: Callable[[DataFrame], DataFrame], join: Join) -> DataFrame:
+    """Pairs of members of one signature that lie in different components so far and may be linked by their prints.
 
     A signature of more than SPLIT_ABOVE members is first divided by sketches over other bits: members that
     are linked still share a signature, others hardly ever.
@@ -297,14 +330,16 @@ def _open_pairs(members: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
         size = members.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
         tagged = settle(members.join(size.filter("c0 <> c1").select("sig", "m"), "sig"))
         small = tagged if level == MAX_LEVEL else tagged.filter(F.col("m") <= SPLIT_ABOVE)
-        other = small.select("sig", F.col("rep").alias("b"), F.col("comp").alias("cb"))
-        pairs = small.join(other, "sig").filter("rep < b and comp <> cb").select(F.col("rep").alias("a"), "b").distinct()
+        small = _with_prints(small.select("sig", F.col("rep").alias("a"), "comp"), leads, "a")
+        other = small.select("sig", *[F.col(c).alias("b" + c[1:]) for c in small.columns if c.startswith("a")], F.col("comp").alias("cb"))
+        may = (F.col("a") < F.col("b")) & (F.col("comp") != F.col("cb")) & _near_enough(join, "a_", "b_")
+        pairs = small.join(other, (small["sig"] == other["sig"]) & may).select("a", "b").distinct()
         found = pairs if found is None else found.unionByName(pairs)
         large = tagged.filter(F.col("m") > SPLIT_ABOVE).drop("m")
         if level == MAX_LEVEL or large.isEmpty():
-            return found.distinct()
-        members = _divide(large, sets, join, level)
-    return found
+            break
+        members = _divide(large, fetch(large.select(F.col("rep").alias("key"))), join, level)
+    return found.distinct()
 
 
 def near_classes(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -314,10 +349,11 @@ def near_classes(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id", t
     2. Signatures of the sets' parity sketches meet in buckets. A signature's members are joined to its
        smallest key, first inside a task, then in the bucket, so a signature costs a task one row and pairs are never
        all formed.
-    3. Joined classes are verified with their exact sets, and components of the links taken.
+    3. Joined classes whose fixed-size prints differ in too many bits are not linked; the others are verified with
+       their exact sets, and components of the links taken.
     4. Where a joined pair is not linked and still apart, the members of its signature that lie in different
        components are verified pair by pair. Then every pair sharing a signature is linked, apart by exact
-       comparison, or in one component anyway: no link is lost.
+       comparison or print, or in one component anyway: no link is lost.
     The number of buckets follows the total text.
 
     Null and empty texts have no shingle and are linked with nothing; texts of fewer than join.k words are one shingle.
@@ -328,33 +364,44 @@ def near_classes(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id", t
     met = rows.select("key", "text").mapInArrow(_sketches(join, blocks), MET)
     packed = stored(met.groupBy("bucket").applyInArrow(_meet, EDGES), "near-edges")
 
-    local = _unpack(packed, 1, ["a", "hub", "n"])
+    local = _unpack(packed, CLASS, ["a", "hub", "n"])
     lead = local.select(F.col("a").alias("hub"), F.col("hub").alias("rep"))
     classes = settle(local.join(lead, "hub").select(F.col("a").alias("key"), "rep", "n"))
+    leads = _unpack(packed, LEAD, ["a", "n", "print"])
+
+    def fetch(keys: DataFrame) -> DataFrame:
+        wanted = stored(keys.distinct(), "near-keys")
+        held = rows.select("key", "text").join(wanted, "key", "left_semi")
+        return stored(held.mapInArrow(_token_sets(join), "key long, tokens binary"), "near-sets")
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key")))
 
-    raw = _unpack(packed, 0, ["a", "hub"], distinct=True).distinct()
+    raw = _unpack(packed, EDGE, ["a", "hub"], distinct=True).distinct()
     of = classes.select("key", "rep")
     raw = raw.join(of.select(F.col("key").alias("a"), F.col("rep").alias("ra")), "a").join(
         of.select(F.col("key").alias("hub"), F.col("rep").alias("rh")), "hub").filter("ra <> rh")
     raw = settle(raw.select("a", "hub", F.least("ra", "rh").alias("ra"), F.greatest("ra", "rh").alias("rh")))
-    pairs = settle(raw.select(F.col("ra").alias("a"), F.col("rh").alias("b")).distinct())
-    ends = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    sets = stored(rows.select("key", "text").join(ends, "key", "left_semi").mapInArrow(_token_sets(join), "key long, tokens binary"), "near-sets")
-    judged = settle(_verify(pairs, sets, join))
-    links = judged.filter("linked").select("a", "b")
+    pairs = raw.select(F.col("ra").alias("a"), F.col("rh").alias("b")).distinct()
+    printed = _with_prints(_with_prints(pairs, leads, "a"), leads, "b")
+    pairs = settle(printed.select("a", "b", _near_enough(join, "a_", "b_").alias("may")))
+    sets = fetch(ends(pairs.filter("may")))
+    links = settle(_verify(pairs.filter("may").select("a", "b"), sets, join).filter("linked").select("a", "b"))
     parts = settle(connected(links))
 
-    apart = _component(_component(judged.filter("not linked"), "a", parts), "b", parts).filter("a_comp <> b_comp")
+    apart = _component(_component(pairs.select("a", "b"), "a", parts), "b", parts).filter("a_comp <> b_comp")
     apart = settle(apart.select(F.col("a").alias("ra"), F.col("b").alias("rh")))
     if not apart.isEmpty():
-        edges = _unpack(packed, 0, ["sig", "a", "hub"])
+        edges = _unpack(packed, EDGE, ["sig", "a", "hub"])
         open_sigs = edges.join(raw.join(apart, ["ra", "rh"], "left_semi").select("a", "hub"), ["a", "hub"], "left_semi").select("sig").distinct()
         kept = edges.join(open_sigs, "sig", "left_semi")
         members = kept.select("sig", F.col("a").alias("key")).unionByName(kept.select("sig", F.col("hub").alias("key"))).distinct()
         members = _component(members.join(of, "key").select("sig", "rep").distinct(), "rep", parts)
         members = members.select("sig", "rep", F.col("rep_comp").alias("comp"))
-        more = _open_pairs(members, sets, join).join(judged.select("a", "b"), ["a", "b"], "left_anti")
-        again = settle(_verify(more, sets, join).filter("linked").select("a", "b"))
+        more = settle(_open_pairs(members, leads, fetch, join).join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
+        unread = settle(ends(more).distinct().join(sets.select("key"), "key", "left_anti"))
+        held = sets if unread.isEmpty() else sets.unionByName(fetch(unread))
+        again = settle(_verify(more, held, join).filter("linked").select("a", "b"))
         if not again.isEmpty():
             parts = settle(connected(links.unionByName(again)))
 
