@@ -17,8 +17,9 @@ from panelflow.llm.components import connected
 from panelflow.session import settle, stored
 
 BAND_RATIO = 1.5  # largest to smallest set size of a band
-SPLIT_ABOVE = 256  # members of a signature beyond which it is divided by a second sketch
+SPLIT_ABOVE = 4096  # members of a signature beyond which it is divided by a second sketch
 MAX_LEVEL = 3  # sketches that divide one signature, at most
+HUB_ROUNDS = 2  # further hubs tried before members are compared pair by pair
 
 MET = "bucket int, kind int, sig binary, sig2 binary, a binary, hub binary, n binary, print binary"
 EDGES = "kind int, sig binary, a binary, hub binary, n binary, print binary"
@@ -39,7 +40,7 @@ class Join:
 
     @property
     def weak(self) -> int:
-        """A block whose parity word has fewer bits set says little; see `signatures`."""
+        """A block of fewer tokens says little; see `signatures`."""
         return 2 if 100 * self.num >= 85 * self.den else 1
 
     def bands(self) -> tuple[list[int], list[int], list[int]]:
@@ -110,13 +111,14 @@ def prints(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def signatures(tokens: np.ndarray, sizes: np.ndarray, join: Join, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of sets given by their tokens (ascending inside a set), and the set each belongs to.
 
-    A set's sketch has a fixed number of 64-bit blocks per size band. A token belongs to one block and
-    flips one bit of it, so two sketches differ in at most as many blocks as their sets differ in tokens, and two linked sets have
-    more equal blocks than there are spare ones. A pair is looked for in the band of its larger set: a set is
-    sketched for its own band and for those its larger partners can be in. A signature is a band, a block
-    number and the block's parity word. Weak words, with fewer than join.weak bits, are left out unless the set has
-    more of them than spare blocks; of two linked sets, either one has not, and then they share a block that is not weak,
-    or both have and all their blocks are there.
+    A set's sketch has a fixed number of blocks per size band. A token belongs to one block and is XORed into it
+    as 64 bits, so two sketches differ in at most as many blocks as their sets differ in tokens, and two linked sets have
+    more equal blocks than there are spare ones. (One-hot bits would do as well, but a block of two or
+    three tokens has then so few values that unrelated sets meet by chance, the more the larger the input.) A pair is
+    looked for in the band of its larger set: a set is sketched for its own band and for those its larger
+    partners can be in. A signature is a band, a block number and the block's parity word. Weak blocks, of fewer
+    than join.weak tokens, are left out unless the set has more of them than spare blocks; of two linked sets,
+    either one has not, and then they share a block that is not weak, or both have and all their blocks are there.
     """
     low, count, spare = (np.asarray(x, np.int64) for x in join.bands())
     if seed:
@@ -144,9 +146,9 @@ def signatures(tokens: np.ndarray, sizes: np.ndarray, join: Join, seed: int = 0)
         place = first[own] + ((t >> np.uint64(32)) * blocks[own].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
         cut = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1])
         parity = np.zeros(first[-1], np.uint64)
-        parity[place[cut]] = np.bitwise_xor.reduceat(np.uint64(1) << (t & np.uint64(63)), cut)
+        parity[place[cut]] = np.bitwise_xor.reduceat(words.mixed(t, 29), cut)
         set_of = np.repeat(np.arange(len(chosen)), blocks)
-        weak = np.bitwise_count(parity) < join.weak
+        weak = np.bincount(place, minlength=len(parity)) < join.weak
         irregular = np.bincount(set_of, weak, len(chosen)) > spare[band[chosen]]
         send = ~weak | irregular[set_of]
         number = np.arange(len(parity)) - first[set_of]
@@ -319,6 +321,15 @@ def _divide(members: DataFrame, sets: DataFrame, join: Join, level: int) -> Data
     return held.select("sig", "rep", "comp", "tokens").mapInArrow(run, "sig long, rep long, comp long").distinct()
 
 
+def _hub_pairs(members: DataFrame, leads: DataFrame, join: Join, turn: int) -> DataFrame:
+    """Pairs of a signature's members with another hub of it, drawn by hash, where they lie in different components."""
+    drawn = F.min(F.struct(F.xxhash64("sig", "rep", F.lit(turn)).alias("o"), "rep", "comp")).alias("h")
+    hubs = members.groupBy("sig").agg(drawn, F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1")
+    met = members.join(hubs.select("sig", "h"), "sig").filter("comp <> h.comp")
+    pairs = met.select(F.least("rep", "h.rep").alias("a"), F.greatest("rep", "h.rep").alias("b")).distinct()
+    return _with_prints(_with_prints(pairs, leads, "a"), leads, "b").filter(_near_enough(join, "a_", "b_")).select("a", "b")
+
+
 def _open_pairs(members: DataFrame, leads: DataFrame, fetch: Callable[[DataFrame], DataFrame], join: Join) -> DataFrame:
     """Pairs of members of one signature that lie in different components so far and may be linked by their prints.
 
@@ -351,8 +362,8 @@ def near_classes(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id", t
        all formed.
     3. Joined classes whose fixed-size prints differ in too many bits are not linked; the others are verified with
        their exact sets, and components of the links taken.
-    4. Where a joined pair is not linked and still apart, the members of its signature that lie in different
-       components are verified pair by pair. Then every pair sharing a signature is linked, apart by exact
+    4. Where a joined pair is not linked and still apart, the members of its signature meet further hubs; those that
+       still lie in different components then are verified pair by pair. Then every pair sharing a signature is linked, apart by exact
        comparison or print, or in one component anyway: no link is lost.
     The number of buckets follows the total text.
 
@@ -392,18 +403,34 @@ def near_classes(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id", t
     apart = _component(_component(pairs.select("a", "b"), "a", parts), "b", parts).filter("a_comp <> b_comp")
     apart = settle(apart.select(F.col("a").alias("ra"), F.col("b").alias("rh")))
     if not apart.isEmpty():
+        # a signature of two members has no pair but the one that was judged
         edges = _unpack(packed, EDGE, ["sig", "a", "hub"])
+        edges = edges.join(edges.groupBy("sig").count().filter("count > 1").select("sig"), "sig", "left_semi")
         open_sigs = edges.join(raw.join(apart, ["ra", "rh"], "left_semi").select("a", "hub"), ["a", "hub"], "left_semi").select("sig").distinct()
         kept = edges.join(open_sigs, "sig", "left_semi")
         members = kept.select("sig", F.col("a").alias("key")).unionByName(kept.select("sig", F.col("hub").alias("key"))).distinct()
-        members = _component(members.join(of, "key").select("sig", "rep").distinct(), "rep", parts)
-        members = members.select("sig", "rep", F.col("rep_comp").alias("comp"))
-        more = settle(_open_pairs(members, leads, fetch, join).join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
-        unread = settle(ends(more).distinct().join(sets.select("key"), "key", "left_anti"))
-        held = sets if unread.isEmpty() else sets.unionByName(fetch(unread))
-        again = settle(_verify(more, held, join).filter("linked").select("a", "b"))
-        if not again.isEmpty():
-            parts = settle(connected(links.unionByName(again)))
+        members = stored(members.join(of, "key").select("sig", "rep").distinct(), "near-members")
+
+        def grouped() -> DataFrame:
+            return _component(members, "rep", parts).select("sig", "rep", F.col("rep_comp").alias("comp"))
+
+        def judge(new: DataFrame) -> None:
+            """Verifies new pairs (a, b) and joins what they link."""
+            nonlocal links, parts, sets, judged
+            new = settle(new.join(judged, ["a", "b"], "left_anti"))
+            unread = settle(ends(new).distinct().join(sets.select("key"), "key", "left_anti"))
+            if not unread.isEmpty():
+                sets = sets.unionByName(fetch(unread))
+            found = settle(_verify(new, sets, join).filter("linked").select("a", "b"))
+            judged = judged.unionByName(new)
+            if not found.isEmpty():
+                links = links.unionByName(found)
+                parts = settle(connected(links))
+
+        judged = pairs.select("a", "b")
+        for turn in range(HUB_ROUNDS):
+            judge(_hub_pairs(grouped(), leads, join, turn))
+        judge(_open_pairs(grouped(), leads, fetch, join))
 
     named = _component(classes, "rep", parts).select("key", F.col("n").alias("n_shingles"), F.col("rep_comp").alias("component"))
     if plain:
