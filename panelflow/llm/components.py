@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelflow.session import settle
+from panelflow.session import stored
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -16,10 +16,10 @@ def connected(links: DataFrame) -> DataFrame:
     """Rows (node, component) for every node of the links (a, b); component is its smallest node.
 
     Alternates large-star and small-star steps until nothing changes: every step is a minimum per node with
-    map-side combine and a join, and each round is settled in the shared folder. A node with very many
+    map-side combine and a join, and each round is kept as a table in the shared folder. A node with very many
     links is a skewed key of the join, which adaptive execution splits.
     """
-    edges = settle(links.filter("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct())
+    edges = stored(links.filter("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), "links")
     before = _state(edges)
     while True:
         both = edges.select(F.col("v").alias("x"), F.col("u").alias("y")).unionByName(edges.select(F.col("u").alias("x"), F.col("v").alias("y")))
@@ -28,7 +28,7 @@ def connected(links: DataFrame) -> DataFrame:
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         near = large.join(low, "v")
         small = near.select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(low.select("v", F.col("m").alias("u")))
-        edges = settle(small.filter("v <> u").distinct())
+        edges = stored(small.filter("v <> u").distinct(), "links")
         after = _state(edges)
         if after == before:
             break

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from panelflow.llm import keyed, words
 from panelflow.llm.components import connected
-from panelflow.session import settle, stored
+from panelflow.session import stored
 
 BAND_RATIO = 1.5  # largest to smallest set size of a band
 SPLIT_ABOVE = 4096  # members of a signature beyond which it is divided by a second sketch
@@ -30,6 +30,11 @@ PRINT_WORDS = 8  # 64-bit words of the fixed-size sketch that filters pairs
 PRINT = [f"w{i}" for i in range(PRINT_WORDS)]
 
 
+def _put(df: DataFrame) -> DataFrame:
+    """Kept in the shared folder as a table: its size is known to the joins that follow, and small ones read as few tasks."""
+    return stored(df, "near")
+
+
 @dataclass(frozen=True)
 class Join:
     """Shingles of `k` words, linked where intersection * den >= union * num."""
@@ -339,7 +344,7 @@ def _open_pairs(members: DataFrame, leads: DataFrame, fetch: Callable[[DataFrame
     found = None
     for level in range(1, MAX_LEVEL + 1):
         size = members.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
-        tagged = settle(members.join(size.filter("c0 <> c1").select("sig", "m"), "sig"))
+        tagged = _put(members.join(size.filter("c0 <> c1").select("sig", "m"), "sig"))
         small = tagged if level == MAX_LEVEL else tagged.filter(F.col("m") <= SPLIT_ABOVE)
         small = _with_prints(small.select("sig", F.col("rep").alias("a"), "comp"), leads, "a")
         other = small.select("sig", *[F.col(c).alias("b" + c[1:]) for c in small.columns if c.startswith("a")], F.col("comp").alias("cb"))
@@ -377,7 +382,7 @@ def near_classes(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id", t
 
     local = _unpack(packed, CLASS, ["a", "hub", "n"])
     lead = local.select(F.col("a").alias("hub"), F.col("hub").alias("rep"))
-    classes = settle(local.join(lead, "hub").select(F.col("a").alias("key"), "rep", "n"))
+    classes = _put(local.join(lead, "hub").select(F.col("a").alias("key"), "rep", "n"))
     leads = _unpack(packed, LEAD, ["a", "n", "print"])
 
     def fetch(keys: DataFrame) -> DataFrame:
@@ -392,16 +397,16 @@ def near_classes(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id", t
     of = classes.select("key", "rep")
     raw = raw.join(of.select(F.col("key").alias("a"), F.col("rep").alias("ra")), "a").join(
         of.select(F.col("key").alias("hub"), F.col("rep").alias("rh")), "hub").filter("ra <> rh")
-    raw = settle(raw.select("a", "hub", F.least("ra", "rh").alias("ra"), F.greatest("ra", "rh").alias("rh")))
+    raw = _put(raw.select("a", "hub", F.least("ra", "rh").alias("ra"), F.greatest("ra", "rh").alias("rh")))
     pairs = raw.select(F.col("ra").alias("a"), F.col("rh").alias("b")).distinct()
     printed = _with_prints(_with_prints(pairs, leads, "a"), leads, "b")
-    pairs = settle(printed.select("a", "b", _near_enough(join, "a_", "b_").alias("may")))
+    pairs = _put(printed.select("a", "b", _near_enough(join, "a_", "b_").alias("may")))
     sets = fetch(ends(pairs.filter("may")))
-    links = settle(_verify(pairs.filter("may").select("a", "b"), sets, join).filter("linked").select("a", "b"))
-    parts = settle(connected(links))
+    links = _put(_verify(pairs.filter("may").select("a", "b"), sets, join).filter("linked").select("a", "b"))
+    parts = _put(connected(links))
 
     apart = _component(_component(pairs.select("a", "b"), "a", parts), "b", parts).filter("a_comp <> b_comp")
-    apart = settle(apart.select(F.col("a").alias("ra"), F.col("b").alias("rh")))
+    apart = _put(apart.select(F.col("a").alias("ra"), F.col("b").alias("rh")))
     if not apart.isEmpty():
         # a signature of two members has no pair but the one that was judged
         edges = _unpack(packed, EDGE, ["sig", "a", "hub"])
@@ -417,15 +422,15 @@ def near_classes(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id", t
         def judge(new: DataFrame) -> None:
             """Verifies new pairs (a, b) and joins what they link."""
             nonlocal links, parts, sets, judged
-            new = settle(new.join(judged, ["a", "b"], "left_anti"))
-            unread = settle(ends(new).distinct().join(sets.select("key"), "key", "left_anti"))
+            new = _put(new.join(judged, ["a", "b"], "left_anti"))
+            unread = _put(ends(new).distinct().join(sets.select("key"), "key", "left_anti"))
             if not unread.isEmpty():
                 sets = sets.unionByName(fetch(unread))
-            found = settle(_verify(new, sets, join).filter("linked").select("a", "b"))
+            found = _put(_verify(new, sets, join).filter("linked").select("a", "b"))
             judged = judged.unionByName(new)
             if not found.isEmpty():
                 links = links.unionByName(found)
-                parts = settle(connected(links))
+                parts = _put(connected(links))
 
         judged = pairs.select("a", "b")
         for turn in range(HUB_ROUNDS):
