@@ -42,7 +42,7 @@ def prior_captures(captures: DataFrame, stream: str, fallback: str | None = None
 def capture_checks(headers: DataFrame, members: DataFrame, today: str, force: bool = False) -> DataFrame:
     """Every integrity check of every capture against the capture before it.
 
-    `headers`: one row per capture with capture_ord, as_of, n_raw (rows of the export), n_rows
+    `headers`: one row per capture with capture_ord, as_of, hhmm (optional), n_raw (rows of the export), n_rows
     (distinct keys), mapped_fields, unmapped_columns, sha256 (array) and copies (captures filed
     under the key). `members`: distinct (capture_ord, ticker).
     """
@@ -54,7 +54,9 @@ def capture_checks(headers: DataFrame, members: DataFrame, today: str, force: bo
         .groupBy("capture_ord")
         .agg(F.count_if("_again").alias("n_common"))
     )
-    prior = F.lag(F.struct("as_of", "n_rows", "mapped_fields", "unmapped_columns", "sha256")).over(step)
+    # captures of one day are told apart by their time, where headers carry it
+    headers = headers if "hhmm" in headers.columns else headers.withColumn("hhmm", F.lit(""))
+    prior = F.lag(F.struct("as_of", "hhmm", "n_rows", "mapped_fields", "unmapped_columns", "sha256")).over(step)
     rows = headers.withColumn("p", prior).join(overlap, "capture_ord", "left").withColumn(
         "n_common", F.coalesce("n_common", F.lit(0))
     )
@@ -81,10 +83,13 @@ def capture_checks(headers: DataFrame, members: DataFrame, today: str, force: bo
             check("unmapped columns", F.lit(True), listed(fresh_headers), has),
             check("row count vs prior", F.abs(drift) <= ROW_TOLERANCE, pct(drift), has),
             check("key overlap vs prior", share >= MIN_OVERLAP, pct(share), has),
-            check("export is fresh", ~same, F.lit(""), has),
+            check("export is fresh", ~F.coalesce(same, F.lit(False)), F.lit(""), has),
             check("prior capture", F.lit(True), F.lit("none found"), ~has),
             check("as-of not in the future", c("as_of") <= F.to_date(F.lit(today)), c("as_of").cast("string")),
-            check("capture is after the prior one", c("as_of") > c("p.as_of"), c("p.as_of").cast("string"), has),
+            check(
+                "capture is after the prior one", F.struct("as_of", "hhmm") > F.struct(c("p.as_of"), c("p.hhmm")),
+                c("p.as_of").cast("string"), has,
+            ),
             check("not already captured", F.lit(force) | (c("copies") <= 1), c("copies").cast("string")),
         )
     )
@@ -93,7 +98,7 @@ def capture_checks(headers: DataFrame, members: DataFrame, today: str, force: bo
 
 def gate(checks: DataFrame) -> None:
     """Stop before anything is written when a check failed (the check table is small)."""
-    failed = checks.where("NOT ok").limit(20).collect()
+    failed = checks.where("NOT ok").collect()  # a few checks per capture
     if failed:
         raise ValueError("capture refused: " + "; ".join(f"{r['check']} ({r['detail']})" for r in failed))
 

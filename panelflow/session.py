@@ -44,12 +44,21 @@ def shared_dir(spark: SparkSession) -> str:
         if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = f"{spark.conf.get('spark.local.dir', '/tmp')}/panelflow-{sc.applicationId}"
-        _own.append(named)
+        if named not in _own:
+            _own.append(named)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
     return named
 
 
+def release(spark: SparkSession) -> None:
+    """Remove the folders this process made for itself; a folder the cluster names is left alone."""
+    jvm = spark.sparkContext._jvm
+    while _own:
+        path = jvm.org.apache.hadoop.fs.Path(_own.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/panelflow-{label}-{uuid.uuid4().hex}"
 

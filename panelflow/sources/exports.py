@@ -17,13 +17,18 @@ ROW_ORDER = ["_page", "_block", "_row"]
 def page_files(spark: SparkSession, paths: Sequence[str], suffix: str = ".csv") -> list[str]:
     """Files in the order given; a directory stands for its sorted pages; repeats are dropped.
 
-    Only file names reach the driver (the listing of the binary source reads no content).
+    Only file names reach the driver (the listing of the binary source reads no content). Spreadsheets in a
+    folder are not read; rather than leave their rows out, it is refused.
     """
     names: list[str] = []
     for p in paths:
         if p.lower().endswith(suffix):
             names.append(p)
             continue
+        sheets = spark.read.format("binaryFile").option("pathGlobFilter", "*.{xls,xlsx,xlsm,XLS,XLSX}").load(p).select("path")
+        unread = [r.path for r in sheets.orderBy("path").collect()]
+        if unread:
+            raise ValueError(f"spreadsheet pages cannot be read: {unread}")
         found = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(p)
         names += [r.path for r in found.select("path").orderBy("path").collect()]
     out: dict[str, str] = {}
@@ -57,7 +62,7 @@ def read_pages(spark: SparkSession, paths: Sequence[str], na_tokens: Sequence[st
     """
     pages = []
     for number, path in enumerate(page_files(spark, paths)):
-        page = spark.read.option("header", True).option("escape", '"').csv(path)
+        page = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
         blank = F.array(*[F.lit(t) for t in na_tokens]) if na_tokens else None
         names = page.columns
         tidy = [

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 UNTIMED = "none"  # partition value of a capture without a clock time
 
@@ -36,7 +37,10 @@ def write_snapshot(records: DataFrame, path: str, stream: str, as_of: str, hhmm:
 
 def load_stream(spark: SparkSession, path: str, stream: str) -> DataFrame:
     """Whole stream; order is in the columns (as_of, hhmm), never in file order."""
-    rows = spark.read.parquet(path).where((F.col("stream") == stream) & F.col("ticker").isNotNull())
+    # a partition column of digits only would be inferred as a number
+    kept = spark.read.parquet(path).schema
+    typed = StructType([StructField(f.name, StringType()) if f.name == "hhmm" else f for f in kept])
+    rows = spark.read.schema(typed).parquet(path).where((F.col("stream") == stream) & F.col("ticker").isNotNull())
     return rows.withColumn("hhmm", F.when(F.col("hhmm") == UNTIMED, "").otherwise(F.lpad("hhmm", 4, "0")))
 
 

@@ -19,6 +19,7 @@ def spark():
     })
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    session.release(s)
     s.stop()
 
 

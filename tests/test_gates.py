@@ -127,3 +127,32 @@ def test_tolerant_scan_skips_corrupt_documents(spark, tmp_path):
     (tmp_path / "b.json").write_text('{"as_of": ')
     got = store.read_json_captures(spark, str(tmp_path), "as_of string")
     assert [r["as_of"] for r in got.collect()] == ["2026-08-01"]
+
+
+def test_two_captures_of_one_day_are_ordered_by_time(spark):
+    from pyspark.sql import Row
+
+    def head(n, hhmm):
+        return Row(capture_ord=n, as_of=__import__("datetime").date(2026, 7, 1), hhmm=hhmm, n_raw=1, n_rows=1, mapped_fields=["ticker"], unmapped_columns=["x"], sha256=[f"s{n}"], copies=1)
+
+    members = spark.createDataFrame([(1, "A"), (2, "A")], "capture_ord int, ticker string")
+    for second, ok in (("2200", True), ("0700", False)):
+        df = ql.capture_checks(spark.createDataFrame([head(1, "0746"), head(2, second)]), members, "2026-09-01")
+        found = {r["ok"] for r in df.where("check = 'capture is after the prior one'").collect()}
+        assert found == {ok}
+
+
+def test_a_store_of_timed_captures_only_is_read(spark, tmp_path):
+    path = str(tmp_path / "timed")
+    store.write_snapshot(spark.createDataFrame([("A",)], "ticker string"), path, "daily", "2026-07-01", "0746")
+    assert [r["hhmm"] for r in store.load_stream(spark, path, "daily").collect()] == ["0746"]
+
+
+def test_spreadsheets_are_refused_and_quoted_line_breaks_kept(spark, tmp_path):
+    from panelflow.sources import exports
+
+    (tmp_path / "a.csv").write_text('Ticker,Name\nA,"two\nlines"\n')
+    assert [r["Name"] for r in exports.read_pages(spark, [str(tmp_path)]).collect()] == ["two\nlines"]
+    (tmp_path / "b.xlsx").write_bytes(b"x")
+    with pytest.raises(ValueError, match="b.xlsx"):
+        exports.page_files(spark, [str(tmp_path)])
