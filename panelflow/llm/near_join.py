@@ -16,7 +16,6 @@ from panelflow.llm import keyed, words
 from panelflow.llm.components import connected
 from panelflow.session import stored
 
-WEAK = 2  # a block of fewer tokens says little; see `signatures`
 SPLIT_ABOVE = 4096  # members of a signature beyond which it is divided by a second sketch
 MAX_LEVEL = 3  # sketches that divide one signature, at most
 HUB_ROUNDS = 1  # further hubs tried before members are compared pair by pair
@@ -48,6 +47,11 @@ class Join:
         """Whether blocks hold many tokens: few may differ, so there are few blocks."""
         return 100 * self.num >= 85 * self.den
 
+    @property
+    def weak(self) -> int:
+        """A block of fewer tokens says little; see `signatures`. Narrow blocks are weak only if empty."""
+        return 2 if self.wide else 1
+
     def bands(self) -> tuple[list[int], list[int], list[int]]:
         """Lower bounds of the size bands, and per band its number of blocks and of spare blocks.
 
@@ -58,7 +62,7 @@ class Join:
         while at < 1 << 33:
             nxt = max(at + 1, at * 3 // 2 if self.wide else at * 5 // 4)
             differ = 2 * (nxt - 1) * (self.den - self.num) // (self.den + self.num)
-            extra = 1 + (differ + 1) // (10 if self.wide else 2)
+            extra = 1 + (differ + 1) // (10 if self.wide else 5)
             low.append(at)
             count.append(differ + 1 + extra if differ else 0)
             spare.append(extra)
@@ -122,7 +126,7 @@ def signatures(tokens: np.ndarray, sizes: np.ndarray, join: Join, seed: int = 0)
     three tokens has then so few values that unrelated sets meet by chance, the more the larger the input.) A pair is
     looked for in the band of its larger set: a set is sketched for its own band and for those its larger
     partners can be in. A signature is a band, a block number and the block's parity word. Weak blocks, of fewer
-    than WEAK tokens, are left out unless the set has more of them than spare blocks; of two linked sets,
+    than join.weak tokens, are left out unless the set has more of them than spare blocks; of two linked sets,
     either one has not, and then they share a block that is not weak, or both have and all their blocks are there.
     """
     low, count, spare = (np.asarray(x, np.int64) for x in join.bands())
@@ -153,7 +157,7 @@ def signatures(tokens: np.ndarray, sizes: np.ndarray, join: Join, seed: int = 0)
         parity = np.zeros(first[-1], np.uint64)
         parity[place[cut]] = np.bitwise_xor.reduceat(words.mixed(t, 29), cut)
         set_of = np.repeat(np.arange(len(chosen)), blocks)
-        weak = np.bincount(place, minlength=len(parity)) < WEAK
+        weak = np.bincount(place, minlength=len(parity)) < join.weak
         irregular = np.bincount(set_of, weak, len(chosen)) > spare[band[chosen]]
         send = ~weak | irregular[set_of]
         number = np.arange(len(parity)) - first[set_of]
