@@ -191,7 +191,7 @@ def _stars(sig: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 def _sketches(join: Join, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in words.pieces(batch, limit=keyed.BLOCK_BYTES):
+            for part in words.pieces(batch, limit=keyed.BLOCK_BYTES // 4):
                 key = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 tokens, sizes = shingle_sets(part.column(1), join.k)
                 d1, d2 = _sums(words.mixed(tokens, 5), sizes), _sums(words.mixed(tokens, 6), sizes)

@@ -40,7 +40,7 @@ def _send(batches: list[pa.RecordBatch], own: bool) -> Iterator[pa.RecordBatch]:
 def _anchors(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in words.pieces(batch, limit=keyed.BLOCK_BYTES):
+            for part in words.pieces(batch, limit=keyed.BLOCK_BYTES // 2):
                 found, counts = words.split(part.column(1))
                 h = words.grams(words.hashes(found), ANCHOR)
                 own, pos = _places(counts)

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-PIECE_BYTES = 4 << 20  # texts handled together; one longer text forms a piece of its own
+PIECE_BYTES = 1 << 20  # texts handled together; one longer text forms a piece of its own
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
