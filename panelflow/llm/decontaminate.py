@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelflow.session import stored
+
 SHINGLE = 5  # words of a shingle
 THRESHOLD = 0.8  # weighted-shingle similarity of a leak
 RADIUS = 15  # Hamming distance of 64-bit fingerprints within which every item is a candidate
@@ -59,7 +61,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     is the window's first word.
 
     Only DataFrame operations. Benchmark shingles are counted first and broadcast up to BROADCAST_SHINGLES; beyond that the
-    join is shuffled. Documents are scanned twice, the second time joined with their windows by id.
+    join is shuffled. Documents are scanned twice, the second time joined with their windows by id. The windows are
+    kept as a table, so that Spark knows their size before it decides whether the texts must be shuffled to meet
+    them; the texts that have windows are kept too, as both the fingerprints and the verification read them.
 
     Null and empty texts and items hold nothing. An item of fewer than SHINGLE words is one shingle, met only by a
     document of just these words. Rows that repeat an id count as one document that holds what any of
@@ -80,12 +84,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     known = at_item.select("h", "q", "size").distinct()
     if known.count() <= BROADCAST_SHINGLES:
         known = F.broadcast(known)
-    starts = (
+    starts = stored(
         spread.join(known, "h").select("_id", "size", F.greatest(F.col("p") - F.col("q"), F.lit(0)).alias("s")).distinct()
-        .groupBy("_id").agg(F.collect_list(F.struct("size", "s")).alias("_at")).withColumnRenamed("_id", "_wid")
+        .groupBy("_id").agg(F.collect_list(F.struct("size", "s")).alias("_at")).withColumnRenamed("_id", "_wid"), "leak-starts"
     )
+    held = stored(texts.join(starts, F.col("_id").eqNullSafe(F.col("_wid"))).select("_id", "_t", "_at"), "leak-texts")
     windows = (
-        split.join(starts, F.col("_id").eqNullSafe(F.col("_wid"))).select("_id", "_w", "_at")
+        held.select("_id", shingles(F.col("_t"))[0].alias("_w"), "_at")
         .select("_id", hashed.alias("_sh"), F.explode("_at").alias("_x"))
         .select("_id", F.col("_x.size").alias("size"), F.col("_x.s").alias("s"), F.explode(F.slice(
             "_sh", F.col("_x.s") + 1, F.greatest(F.col("_x.size") - (SHINGLE - 1), F.lit(1)))).alias("h"))
