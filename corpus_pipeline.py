@@ -48,6 +48,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
     docs, key = _identified(docs)
     leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"), key).select(key).distinct()
+    # kept first: Spark then knows the size of the ids and need not shuffle the texts to drop a few
+    leaks = stored(leaks, "leaks")
     return docs.join(leaks, key, "left_anti").drop(ROW)
 
 
