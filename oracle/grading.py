@@ -109,7 +109,7 @@ SQL["sign_stability"] = f"""WITH {ALL5}, {_EST}, {_SIGN} SELECT scheme, {rnd('m1
 
 _BLOCK = """bl0 AS (SELECT scheme, CAST(floor((capture_ord - 1) / 4e0) AS INTEGER) AS block, sum(a2) AS total, count(*) AS n FROM mem WHERE a2 IS NOT NULL GROUP BY 1, 2),
 bl AS (SELECT *, row_number() OVER (PARTITION BY scheme ORDER BY block) - 1 AS idx, count(*) OVER (PARTITION BY scheme) AS nb FROM bl0),
-bd AS (SELECT s.scheme, r.rep, CAST('0x' || substr(md5('7-' || s.scheme || '-' || r.rep || '-' || k.k), 1, 8) AS BIGINT) % s.nb AS idx
+bd AS (SELECT s.scheme, r.rep, CAST('0x' || substr(md5('7-' || s.scheme || '-' || r.rep || '-' || k.k), 1, 15) AS BIGINT) % s.nb AS idx
   FROM (SELECT DISTINCT scheme, nb FROM bl) s CROSS JOIN (SELECT unnest(generate_series(0, 199)) AS rep) r CROSS JOIN (SELECT unnest(generate_series(0, 63)) AS k) k WHERE k.k < s.nb),
 bm2 AS (SELECT bd.scheme, bd.rep, sum(total) / sum(n) AS m FROM bd JOIN bl ON bl.scheme = bd.scheme AND bl.idx = bd.idx GROUP BY 1, 2),
 ci AS (SELECT a.scheme, a.mean, a.n_blocks, lo, hi FROM (SELECT scheme, sum(total) / sum(n) AS mean, max(nb) AS n_blocks FROM bl GROUP BY 1) a
@@ -122,13 +122,13 @@ bi AS (SELECT *, CAST(floor((rank() OVER (PARTITION BY as_of ORDER BY beta) - 1)
 nu AS (SELECT *, row_number() OVER (PARTITION BY as_of, bin ORDER BY md5(CAST(ticker AS VARCHAR))) - 1 AS idx, count(*) OVER (PARTITION BY as_of, bin) AS gn FROM bi),
 pk AS (SELECT m.scheme, nu.* FROM mem m JOIN nu ON nu.as_of = m.as_of AND nu.ticker = m.ticker),
 wt AS (SELECT scheme, as_of, bin, count(*) AS k, max(gn) AS gn FROM pk GROUP BY 1, 2, 3),
-dr AS (SELECT wt.*, r.rep, unnest(generate_series(1, wt.k)) AS j FROM wt CROSS JOIN (SELECT unnest(generate_series(0, 39)) AS rep) r),
-dx AS (SELECT *, CAST('0x' || substr(md5('11-' || scheme || '-' || CAST(as_of AS VARCHAR) || '-' || bin || '-' || rep || '-' || j), 1, 8) AS BIGINT) % gn AS idx FROM dr),
+dr AS (SELECT wt.*, r.rep, unnest(generate_series(1, wt.k)) AS j FROM wt CROSS JOIN (SELECT unnest(generate_series(0, 98)) AS rep) r),
+dx AS (SELECT *, CAST('0x' || substr(md5('11-' || scheme || '-' || CAST(as_of AS VARCHAR) || '-' || bin || '-' || rep || '-' || j), 1, 15) AS BIGINT) % gn AS idx FROM dr),
 nm AS (SELECT dx.scheme, dx.rep, avg(a2) AS m FROM dx JOIN nu ON nu.as_of = dx.as_of AND nu.bin = dx.bin AND nu.idx = dx.idx GROUP BY 1, 2),
 nl AS (SELECT a.scheme, a.actual, a.entries, count(*) AS reps, avg(m) AS null_mean, (count(*) FILTER (m >= actual) + 1) / CAST(count(*) + 1 AS DOUBLE) AS p_value
   FROM nm JOIN (SELECT scheme, avg(a2) AS actual, count(*) AS entries FROM pk GROUP BY 1) a ON a.scheme = nm.scheme GROUP BY 1, 2, 3)"""
 SQL["random_entry_null"] = f"WITH {ALL5}, {_NULL} SELECT scheme, {rnd('actual', 7)} AS actual, entries, reps, {rnd('null_mean', 7)} AS null_mean, {rnd('p_value', 6)} AS p_value FROM nl"
-_BH = """bh0 AS (SELECT scheme, p_value, CAST(row_number() OVER (ORDER BY p_value, scheme) AS INTEGER) AS p_rank, count(*) OVER () AS m FROM nl),
+_BH = """bh0 AS (SELECT scheme, p_value, CAST(row_number() OVER (ORDER BY p_value, scheme) AS INTEGER) AS p_rank, 5 AS m FROM nl),
 bh AS (SELECT *, p_rank * 0.1e0 / m AS threshold FROM bh0),
 fd AS (SELECT *, coalesce(p_rank <= (SELECT max(p_rank) FROM bh WHERE p_value <= threshold), FALSE) AS keep FROM bh)"""
 SQL["bh_fdr"] = f"WITH {ALL5}, {_NULL}, {_BH} SELECT scheme, {rnd('p_value', 6)} AS p_value, p_rank, {rnd('threshold', 6)} AS threshold, keep FROM fd"

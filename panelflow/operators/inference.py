@@ -22,7 +22,7 @@ N_SCHEMES = 5
 def draw(n: Column, *coordinates: Column) -> Column:
     """Index in [0, n) decided by the coordinates alone."""
     digest = F.md5(F.concat_ws("-", *[c.cast("string") for c in coordinates]))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % n
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint") % n
 
 
 def spread(df: DataFrame) -> int:
@@ -75,12 +75,13 @@ def block_bootstrap_ci(blocks: DataFrame, reps: int = 200, seed: int = 7, level:
     return actual.join(ends, "scheme").withColumn("excludes_zero", (c("ci_low") > 0) | (c("ci_high") < 0))
 
 
-def random_entry_null(universe: DataFrame, members: DataFrame, drift: str, value: str, bins: int = 5, reps: int = 40, seed: int = 11) -> DataFrame:
+def random_entry_null(universe: DataFrame, members: DataFrame, drift: str, value: str, bins: int = 5, reps: int = 99, seed: int = 11) -> DataFrame:
     """p-value of each scheme against random entries with the same drift bins and captures.
 
     `universe` has one row per (as_of, ticker) with drift and value; `members` has scheme, as_of,
     ticker. Names of a (capture, bin) are numbered once; a replicate then draws numbers (with
-    replacement), so the work is replicates times entries, not replicates times names.
+    replacement), so the work is replicates times entries, not replicates times names. The smallest
+    p-value is 1 / (reps + 1); it must stay below the first threshold of `bh_fdr`, q / N_SCHEMES.
     """
     c = F.col
     pool = universe.where(c(drift).isNotNull() & c(value).isNotNull()).select("as_of", "ticker", drift, value)
@@ -114,11 +115,10 @@ def random_entry_null(universe: DataFrame, members: DataFrame, drift: str, value
     )
 
 
-def bh_fdr(tests: DataFrame, q: float = 0.10, m: int | None = None) -> DataFrame:
-    """Benjamini-Hochberg keep flag. Tests are few (one per scheme)."""
+def bh_fdr(tests: DataFrame, q: float = 0.10, m: int = N_SCHEMES) -> DataFrame:
+    """Benjamini-Hochberg keep flag among `m` schemes, counting those without a pick. Tests are few (one per scheme)."""
     w = Window.orderBy("p_value", "scheme")
-    size = F.lit(m) if m is not None else F.count(F.lit(1)).over(Window.partitionBy())
-    ranked = tests.withColumn("p_rank", F.row_number().over(w)).withColumn("threshold", F.col("p_rank") * q / size)
+    ranked = tests.withColumn("p_rank", F.row_number().over(w)).withColumn("threshold", F.col("p_rank") * q / m)
     limit = F.max(F.when(F.col("p_value") <= F.col("threshold"), F.col("p_rank"))).over(Window.partitionBy())
     return ranked.withColumn("keep", F.coalesce(F.col("p_rank") <= limit, F.lit(False)))
 

@@ -88,6 +88,13 @@ def test_cohorts_and_costs(spark):
     assert spark.range(1).select(pf.tier_bps(F.lit(9e6))).first()[0] is None
 
 
+def test_bh_fdr_keeps_one_lone_scheme(spark):
+    low = spark.createDataFrame([("S1a", 0.001), ("S1b", 0.5), ("S1c", 0.6), ("S2", 0.7), ("S3", 0.8)], ["scheme", "p_value"])
+    assert [r["scheme"] for r in inf.bh_fdr(low).where("keep").collect()] == ["S1a"]
+    # schemes without a pick still count as tests
+    assert inf.bh_fdr(spark.createDataFrame([("S1a", 0.05)], ["scheme", "p_value"])).where("keep").isEmpty()
+
+
 def test_bh_fdr(spark):
     p = spark.createDataFrame([("a", 0.001), ("b", 0.039), ("c", 0.041), ("d", 0.09), ("e", 0.5)], "scheme string, p_value double")
     keep = {r["scheme"]: r["keep"] for r in inf.bh_fdr(p).collect()}
@@ -107,7 +114,7 @@ def test_bootstrap_and_null_are_stable_and_sensible(spark):
     best = udf.where("v = 9").select(F.lit("best").alias("scheme"), "as_of", "ticker")
     some = udf.where("drift < 0.5").select(F.lit("half").alias("scheme"), "as_of", "ticker")
     got = {r["scheme"]: r for r in inf.random_entry_null(udf, best.unionByName(some), "drift", "v").collect()}
-    assert got["best"]["p_value"] == pytest.approx(1 / 41) and got["half"]["p_value"] > 0.05
+    assert got["best"]["p_value"] == pytest.approx(1 / 100) and got["half"]["p_value"] > 0.05
     assert got["best"]["null_mean"] == pytest.approx(4.5, abs=0.5)
 
 
