@@ -57,8 +57,8 @@ GROUP BY 1, 2"""
 PANEL = f"""{CAPS}, {BARS}, {TICK}, {RES}, {STATS}, {MEMBER},
 anch AS (SELECT s.symbol, caps.as_of, max(st.session) AS anchor_date, max_by(st.close, st.session) AS close_tr,
    max_by(adv_usd, st.session) FILTER (adv_usd IS NOT NULL) AS adv_usd,
-   max_by(tr_3m_pct, st.session) FILTER (tr_3m_pct IS NOT NULL) AS tr_3m_pct,
-   max_by(vol_ann_pct, st.session) FILTER (vol_ann_pct IS NOT NULL) AS vol_ann_pct
+   arg_max_null(tr_3m_pct, st.session) FILTER (st.close IS NOT NULL) AS tr_3m_pct,
+   arg_max_null(vol_ann_pct, st.session) FILTER (st.close IS NOT NULL) AS vol_ann_pct
  FROM (SELECT DISTINCT symbol FROM bars) s CROSS JOIN caps LEFT JOIN stats st ON st.symbol = s.symbol AND st.session <= caps.as_of
  GROUP BY 1, 2),
 mem AS (SELECT k.symbol, k.index_name, caps.as_of, (SELECT max_by(is_member, session) FROM member m WHERE m.symbol = k.symbol

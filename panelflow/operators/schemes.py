@@ -118,12 +118,20 @@ def style_controls() -> dict[str, Column]:
     }
 
 
-def style_residual(rows: DataFrame, value: str, out: str = "residual", controls: dict[str, Column] | None = None) -> DataFrame:
+# A control counts as dead in a capture where less than this share of its squares, or of its spread, is its own.
+DEAD_SQUARES, DEAD_SPREAD = 1e-14, 1e-10
+
+
+def style_residual(
+    rows: DataFrame, value: str, out: str = "residual", controls: dict[str, Column] | None = None, rank: str | None = None
+) -> DataFrame:
     """Residual of `value` on three controls and sector dummies, per capture.
 
-    Sector dummies are absorbed by sector means; the three slopes come from sums per (capture,
-    sector), so rows are only aggregated and joined, never gathered by capture. The mean residual
-    of every sector, hence of every capture, is zero. A singular system leaves the slopes at zero.
+    Sector dummies are absorbed by sector means; the three slopes come from centred products per (capture,
+    sector), so rows are only aggregated and joined, never gathered by capture. Controls are eliminated one
+    after another: one that is constant inside sectors, or follows from those before it, gets slope zero and
+    leaves the others as they are. `rank` names a column for the number of controls that counted. The mean
+    residual of every sector, hence of every capture, is zero.
     """
     named = list((controls or style_controls()).items())
     x = [f"_x{i}" for i in range(3)]
@@ -135,33 +143,36 @@ def style_residual(rows: DataFrame, value: str, out: str = "residual", controls:
     v = [*x, value]
     pairs = [(i, j) for i in range(4) for j in range(i, 4) if (i, j) != (3, 3)]
     sums = base.where(full).groupBy("as_of", "_sector").agg(
-        F.count(F.lit(1)).alias("_n"),
-        *[F.sum(c).alias(f"_s{i}") for i, c in enumerate(v)],
-        *[F.sum(F.col(v[i]) * F.col(v[j])).alias(f"_p{i}{j}") for i, j in pairs],
+        *[F.avg(c).alias(f"_m{i}") for i, c in enumerate(v)],
+        *[(F.covar_pop(v[i], v[j]) * F.count(F.lit(1))).alias(f"_p{i}{j}") for i, j in pairs],
+        *[F.sum(F.col(c) * F.col(c)).alias(f"_q{k}") for k, c in enumerate(x)],
     )
     # a few rows per capture (one per sector)
     capture = Window.partitionBy("as_of")
-    centred = lambda i, j: F.sum(F.col(f"_p{i}{j}") - F.col(f"_s{i}") * F.col(f"_s{j}") / F.col("_n")).over(capture)
-    g = {(i, j): F.col(f"_g{i}{j}") for i, j in pairs}
-    at = lambda i, j: g[(min(i, j), max(i, j))]
-    grams = sums.withColumns({f"_g{i}{j}": centred(i, j) for i, j in pairs})
-
-    def det(m: list[list[Column]]) -> Column:
-        (a, b, c), (d, e, f), (h, k, l) = m
-        return a * (e * l - f * k) - b * (d * l - f * h) + c * (d * k - e * h)
-
-    matrix = [[at(i, j) for j in range(3)] for i in range(3)]
-    rhs = [at(i, 3) for i in range(3)]
-    whole = det(matrix)
-    slopes = {}
+    solved = sums.withColumns({
+        **{f"_g{i}{j}": F.sum(f"_p{i}{j}").over(capture) for i, j in pairs},
+        **{f"_d{k}": F.sum(f"_p{k}{k}").over(capture) for k in range(3)},
+        **{f"_q{k}": F.sum(f"_q{k}").over(capture) for k in range(3)},
+    })
+    g = lambda i, j: F.col(f"_g{i}{j}")
+    ratio = lambda k, top: F.when(F.col(f"_live{k}"), F.try_divide(top, g(k, k))).otherwise(F.lit(0.0))
     for k in range(3):
-        swapped = [[rhs[i] if j == k else matrix[i][j] for j in range(3)] for i in range(3)]
-        slopes[f"_b{k}"] = F.coalesce(F.try_divide(det(swapped), whole), F.lit(0.0))
-    fitted = grams.withColumns(slopes)
-    intercept = F.col("_s3") / F.col("_n")
+        live = (g(k, k) > F.col(f"_q{k}") * DEAD_SQUARES) & (g(k, k) > F.col(f"_d{k}") * DEAD_SPREAD)
+        solved = solved.withColumn(f"_live{k}", live)
+        solved = solved.withColumns({
+            f"_g{i}{j}": g(i, j) - ratio(k, g(k, i)) * g(k, j) for i in range(k + 1, 3) for j in range(i, 4)
+        })
+    for k in (2, 1, 0):
+        rest = g(k, 3)
+        for j in range(k + 1, 3):
+            rest = rest - g(k, j) * F.col(f"_b{j}")
+        solved = solved.withColumn(f"_b{k}", ratio(k, rest))
+    intercept = F.col("_m3")
     for k in range(3):
-        intercept = intercept - F.col(f"_b{k}") * F.col(f"_s{k}") / F.col("_n")
-    coefficients = fitted.select("as_of", "_sector", intercept.alias("_a"), "_b0", "_b1", "_b2")
+        intercept = intercept - F.col(f"_b{k}") * F.col(f"_m{k}")
+    counted = F.col("_live0").cast("int") + F.col("_live1").cast("int") + F.col("_live2").cast("int")
+    coefficients = solved.select(
+        "as_of", "_sector", intercept.alias("_a"), "_b0", "_b1", "_b2", *([counted.alias(rank)] if rank else []))
     fit = F.col("_a")
     for k in range(3):
         fit = fit + F.col(f"_b{k}") * F.col(x[k])

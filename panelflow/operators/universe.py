@@ -91,14 +91,23 @@ def bar_statistics(bars: DataFrame) -> DataFrame:
 
 
 def liquidity_asof(anchors: DataFrame, bars: DataFrame) -> DataFrame:
-    """Bar statistics at the last bar at or before `as_of`; each statistic carries forward."""
+    """Bar statistics at the last bar at or before `as_of`.
+
+    Dollar volume carries forward over bars without a product. Return and volatility are those of the
+    last bar with a close, null where they are null there: an older value never stands in. Bars of
+    symbols without an anchor and those after a symbol's last anchor are left out first.
+    """
     _, upto = _bar_windows()
-    held = bar_statistics(bars).select(
+    until = anchors.groupBy("symbol").agg(F.max("as_of").alias("_until"))
+    wanted = bars.join(until, "symbol").where("session <= _until").drop("_until")
+    closed = F.when(F.col("close_tr").isNotNull(), F.struct("tr_3m_pct", "vol_ann_pct"))
+    held = bar_statistics(wanted).select(
         "symbol",
         "session",
         "close_tr",
-        *[F.last(c, ignorenulls=True).over(upto).alias(c) for c in ("adv_usd", "tr_3m_pct", "vol_ann_pct")],
-    )
+        F.last("adv_usd", ignorenulls=True).over(upto).alias("adv_usd"),
+        F.last(closed, ignorenulls=True).over(upto).alias("_closed"),
+    ).select("symbol", "session", "close_tr", "adv_usd", "_closed.tr_3m_pct", "_closed.vol_ann_pct")
     return asof_join(
         anchors,
         held.withColumn("anchor_date", F.col("session")),
@@ -115,8 +124,9 @@ def members_asof(
     """Target indices of which the symbol is a member at `as_of`, in index order."""
     listed = F.array(*[F.lit(i) for i in indices])
     probes = anchors.select("symbol", "as_of").distinct().withColumn("index_name", F.explode(listed))
+    listed_days = membership.where(F.col("index_name").isin(*indices))
     hit = asof_join(
-        probes, membership, ["symbol", "index_name"], "as_of", "session", ["is_member"], strict=strict
+        probes, listed_days, ["symbol", "index_name"], "as_of", "session", ["is_member"], strict=strict
     ).where(F.col("is_member") == 1)
     ranked = F.array_sort(
         F.collect_list(F.struct((F.array_position(listed, F.col("index_name"))).alias("k"), "index_name"))

@@ -64,6 +64,22 @@ def test_style_residual_equals_dummy_regression(spark):
     assert abs(sum(got.values())) < 1e-6
 
 
+def test_style_residual_drops_only_dead_controls(spark):
+    rng = np.random.default_rng(9)
+    n = 300
+    size, beta = rng.normal(22, 1, n), rng.normal(1, 0.3, n)
+    y = 2 * size - beta + rng.normal(0, 0.1, n)
+    for dead in (np.full(n, 0.3), 5 - 2 * size):  # constant, and following from another control
+        df = spark.createDataFrame([(D(2026, 8, 1), i, "A", *map(float, v)) for i, v in enumerate(zip(size, dead, beta, y))],
+                                   "as_of date, ticker int, sector string, s double, d double, b double, y double").repartition(4)
+        rows = sc.style_residual(df, "y", controls={c: F.col(c) for c in "sdb"}, rank="rank").collect()
+        x = np.column_stack([np.ones(n), size, beta])
+        want = y - x @ np.linalg.lstsq(x, y, rcond=None)[0]
+        got = {r["ticker"]: r["residual"] for r in rows}
+        assert [got[i] for i in range(n)] == pytest.approx(want.tolist(), abs=1e-7)
+        assert {r["rank"] for r in rows} == {2}
+
+
 def test_winsor_zscores(spark):
     rng = np.random.default_rng(3)
     v = np.append(rng.normal(0, 1, 300), [50.0, -40.0])

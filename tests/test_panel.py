@@ -131,6 +131,18 @@ def test_nan_close_is_not_liquid_and_misses_are_kept(spark):
     assert got["zz", 30]["matched"] is False and got["zz", 30]["liquid"] is False and got["zz", 30]["member_of"] == []
 
 
+def test_a_return_without_a_base_is_null_and_not_an_older_one(spark):
+    closes = [10.0 + i for i in range(70)]
+    closes[5] = 0.0  # the base of bar 68
+    b = spark.createDataFrame(bars(spark, "OK", closes) + bars(spark, "LATE", [1.0] * 70), BAR)
+    day = lambda i: D(2026, 1, 1) + dt.timedelta(days=i)
+    a = spark.createDataFrame([("OK", day(i)) for i in (67, 68, 69)], "symbol string, as_of date")
+    got = {r["as_of"]: r for r in un.liquidity_asof(a, b).collect()}
+    assert got[day(68)]["tr_3m_pct"] is None and got[day(68)]["vol_ann_pct"] is not None
+    assert got[day(67)]["tr_3m_pct"] == pytest.approx((77 / 14 - 1) * 100)
+    assert got[day(69)]["tr_3m_pct"] == pytest.approx((79 / 16 - 1) * 100)
+
+
 def test_bar_windows_brute_force(spark):
     import numpy as np
     import pandas as pd
