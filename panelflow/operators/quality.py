@@ -39,8 +39,11 @@ def prior_captures(captures: DataFrame, stream: str, fallback: str | None = None
     )
 
 
-def capture_checks(headers: DataFrame, members: DataFrame, today: str, force: bool = False) -> DataFrame:
-    """Every integrity check of every capture against the capture before it.
+def capture_checks(
+    headers: DataFrame, members: DataFrame, today: str | None, force: bool = False,
+    row_tolerance: float = ROW_TOLERANCE, min_overlap: float = MIN_OVERLAP,
+) -> DataFrame:
+    """Every integrity check of every capture against the capture before it; `today` None is the current date.
 
     `headers`: one row per capture with capture_ord, as_of, hhmm (optional), n_raw (rows of the export), n_rows
     (distinct keys), mapped_fields, unmapped_columns, sha256 (array) and copies (captures filed
@@ -81,11 +84,11 @@ def capture_checks(headers: DataFrame, members: DataFrame, today: str, force: bo
             check("core columns present", F.size(missing) == 0, listed(missing)),
             check("no column regression", F.size(lost) == 0, listed(lost), has),
             check("unmapped columns", F.lit(True), listed(fresh_headers), has),
-            check("row count vs prior", F.abs(drift) <= ROW_TOLERANCE, pct(drift), has),
-            check("key overlap vs prior", share >= MIN_OVERLAP, pct(share), has),
+            check("row count vs prior", F.abs(drift) <= row_tolerance, pct(drift), has),
+            check("key overlap vs prior", share >= min_overlap, pct(share), has),
             check("export is fresh", ~F.coalesce(same, F.lit(False)), F.lit(""), has),
             check("prior capture", F.lit(True), F.lit("none found"), ~has),
-            check("as-of not in the future", c("as_of") <= F.to_date(F.lit(today)), c("as_of").cast("string")),
+            check("as-of not in the future", c("as_of") <= (F.to_date(F.lit(today)) if today else F.current_date()), c("as_of").cast("string")),
             check(
                 "capture is after the prior one", F.struct("as_of", "hhmm") > F.struct(c("p.as_of"), c("p.hhmm")),
                 c("p.as_of").cast("string"), has,
@@ -167,3 +170,11 @@ def slot_split(captures: DataFrame, opening: str = "2130") -> DataFrame:
         F.count_if(timed & (F.col("hhmm") >= opening)).alias("intraday"),
         F.count_if(~timed).alias("untimed"),
     )
+
+
+def refuse_feed(proof: DataFrame) -> None:
+    """Stop before a merge when the one row of `feed_gate` is missing or holds a failed check."""
+    row = proof.select("fresh", "delisted_ok", "membership_ok").first()
+    failed = [k for k, ok in row.asDict().items() if not ok] if row else ["no proof"]
+    if failed:
+        raise ValueError("reference data refused: " + ", ".join(failed))

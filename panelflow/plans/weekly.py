@@ -9,25 +9,76 @@ from pyspark.sql import functions as F
 
 from panelflow.functions.cells import rating_date_lenient
 from panelflow.operators import crosssection as cs
-from panelflow.operators import guards
+from panelflow.operators import guards, quality
 from panelflow.operators import revision as rv
 from panelflow.operators import universe as un
 from panelflow.operators.asof import number_captures
+from panelflow.schema import MIN_OVERLAP, ROW_TOLERANCE
+from panelflow.session import stored
 from panelflow.sources import exports, store
 
 
-def capture(spark: SparkSession, pages: Sequence[str], as_of: str, snapshots: str, stream: str = "weekly", hhmm: str = "", force: bool = False) -> DataFrame:
-    """Read, normalise and freeze one capture; returns the frozen records."""
+def _prior(spark: SparkSession, snapshots: str, as_of: str, hhmm: str, stream: str, fallback: str | None) -> tuple[DataFrame, DataFrame] | None:
+    """Header and keys of the newest earlier capture of `stream`, else of `fallback`; None where there is none."""
+    filed = store.load_headers(spark, snapshots)
+    if filed is None:
+        return None
+    before = F.struct("as_of", "hhmm") < F.struct(F.to_date(F.lit(as_of)), F.lit(hhmm))
+    for name in filter(None, (stream, fallback)):
+        key = filed.where((F.col("stream") == name) & before).agg(F.max(F.struct("as_of", "hhmm")).alias("k")).first()["k"]
+        if key is not None:
+            same = (F.col("as_of") == F.lit(key["as_of"])) & (F.col("hhmm") == key["hhmm"])
+            header = filed.where((F.col("stream") == name) & same)
+            return header, store.load_stream(spark, snapshots, name).where(same).select("ticker").distinct()
+    return None
+
+
+def capture(
+    spark: SparkSession, pages: Sequence[str], as_of: str, snapshots: str, stream: str = "weekly", hhmm: str = "", force: bool = False,
+    fallback: str | None = None, today: str | None = None, row_tolerance: float = ROW_TOLERANCE, min_overlap: float = MIN_OVERLAP,
+) -> DataFrame:
+    """Read, normalise, check and freeze one capture with its header; returns the frozen records.
+
+    Every integrity check runs before anything is filed: against the newest earlier capture of the stream,
+    or of `fallback` (a daily capture may follow a weekly one). A failed check raises and leaves
+    nothing behind. A capture filed without a header is not compared with.
+    """
+    if not force:
+        store.refuse_frozen(spark, snapshots, stream, as_of, hhmm)
     raw = exports.read_pages(spark, pages)
-    if raw.limit(1).isEmpty():
+    n_raw = raw.count()
+    if not n_raw:
         raise ValueError("the export holds no rows")
-    records = exports.snapshot(raw, as_of).drop(*exports.ROW_ORDER)
+    mapping, unmapped = exports.map_headers([c for c in raw.columns if c not in exports.ROW_ORDER])
+    # parsed once: the checks and the store read the same records
+    records = stored(exports.snapshot(raw, as_of).drop(*exports.ROW_ORDER), "capture")
+    prints = exports.fingerprints(spark, exports.page_files(spark, pages))
+    listed = lambda c: prints.agg(F.array_sort(F.collect_list(c))).scalar()
+    header = stored(exports.capture_header(records, mapping, unmapped).withColumns({
+        "n_raw": F.lit(n_raw).cast("long"), "captured_at": F.current_timestamp(), "hhmm": F.lit(hhmm),
+        "sha256": listed("sha256"), "files": listed("file")}), "header")
+
+    read = ["as_of", "hhmm", "n_raw", "n_rows", "mapped_fields", "unmapped_columns", "sha256"]
+    number = lambda df, n: df.withColumn("capture_ord", F.lit(n))
+    heads, members = number(header.select(read), 2), number(records.select("ticker"), 2)
+    prior = _prior(spark, snapshots, as_of, hhmm, stream, fallback)
+    if prior is not None:
+        heads = heads.unionByName(number(prior[0].select(read), 1))
+        members = members.unionByName(number(prior[1], 1))
+    quality.gate(quality.capture_checks(heads.withColumn("copies", F.lit(1)), members, today, force, row_tolerance, min_overlap))
+
     store.write_snapshot(records, snapshots, stream, as_of, hhmm, force)
-    return store.load_snapshot(spark, snapshots, stream, as_of)
+    store.write_snapshot(header.drop("hhmm"), store.header_path(snapshots), stream, as_of, hhmm, force=True)
+    return store.load_snapshot(spark, snapshots, stream, as_of).where(F.col("hhmm") == hhmm)
+
 
+def merge(snapshot: DataFrame, bars: DataFrame, membership: DataFrame, panels: str, force: bool = False, proof: DataFrame | None = None) -> DataFrame:
+    """Join a capture to prices and membership and add it to the panel table.
 
-def merge(snapshot: DataFrame, bars: DataFrame, membership: DataFrame, panels: str, force: bool = False) -> DataFrame:
-    """Join a capture to prices and membership and add it to the panel table."""
+    `proof` is the row of `quality.feed_gate` for these tables: a failed check stops before anything is written.
+    """
+    if proof is not None:
+        quality.refuse_feed(proof)
     panel = un.merge_panel(snapshot, bars, membership)
     store.write_panel(panel, panels, force)
     return snapshot.sparkSession.read.parquet(panels)

@@ -18,12 +18,18 @@ def _exists(spark: SparkSession, path: str, condition) -> bool:
         raise
 
 
+def refuse_frozen(spark: SparkSession, path: str, stream: str, as_of: str, hhmm: str = "") -> None:
+    """Raise when a capture is already filed under the key."""
+    key = (F.col("stream") == stream) & (F.col("as_of") == F.to_date(F.lit(as_of))) & (F.col("hhmm") == (hhmm or UNTIMED))
+    if _exists(spark, path, key):
+        raise FileExistsError(f"{stream} capture {as_of} {hhmm} is already frozen")
+
+
 def write_snapshot(records: DataFrame, path: str, stream: str, as_of: str, hhmm: str = "", force: bool = False) -> None:
     """Freeze one capture as its own partition; a second write needs `force`."""
-    spark, part = records.sparkSession, hhmm or UNTIMED
-    key = (F.col("stream") == stream) & (F.col("as_of") == F.to_date(F.lit(as_of))) & (F.col("hhmm") == part)
-    if not force and _exists(spark, path, key):
-        raise FileExistsError(f"{stream} capture {as_of} {hhmm} is already frozen")
+    part = hhmm or UNTIMED
+    if not force:
+        refuse_frozen(records.sparkSession, path, stream, as_of, hhmm)
     (
         records.withColumn("stream", F.lit(stream))
         .withColumn("as_of", F.to_date(F.lit(as_of)))
@@ -35,15 +41,29 @@ def write_snapshot(records: DataFrame, path: str, stream: str, as_of: str, hhmm:
     )
 
 
-def load_stream(spark: SparkSession, path: str, stream: str) -> DataFrame:
-    """Whole stream; order is in the columns (as_of, hhmm), never in file order."""
+def _timed(spark: SparkSession, path: str) -> DataFrame:
     # a partition column of digits only would be inferred as a number
     kept = spark.read.parquet(path).schema
     typed = StructType([StructField(f.name, StringType()) if f.name == "hhmm" else f for f in kept])
-    rows = spark.read.schema(typed).parquet(path).where((F.col("stream") == stream) & F.col("ticker").isNotNull())
+    rows = spark.read.schema(typed).parquet(path)
     return rows.withColumn("hhmm", F.when(F.col("hhmm") == UNTIMED, "").otherwise(F.lpad("hhmm", 4, "0")))
 
 
+def load_stream(spark: SparkSession, path: str, stream: str) -> DataFrame:
+    """Whole stream; order is in the columns (as_of, hhmm), never in file order."""
+    return _timed(spark, path).where((F.col("stream") == stream) & F.col("ticker").isNotNull())
+
+
+def header_path(snapshots: str) -> str:
+    return f"{snapshots.rstrip('/')}-headers"
+
+
+def load_headers(spark: SparkSession, snapshots: str) -> DataFrame | None:
+    """Headers of the captures filed so far, one row each; None where there is none yet."""
+    path = header_path(snapshots)
+    return _timed(spark, path) if _exists(spark, path, F.lit(True)) else None
+
+
 def load_snapshot(spark: SparkSession, path: str, stream: str, as_of: str) -> DataFrame:
     """One capture by key; raises when it is missing."""
     rows = load_stream(spark, path, stream).where(F.col("as_of") == F.to_date(F.lit(as_of)))

@@ -6,6 +6,7 @@ import pytest
 
 from panelflow.operators import revision as rv
 from panelflow.plans import weekly
+from panelflow.sources import store
 
 
 def export(path, rows):
@@ -25,7 +26,7 @@ def test_two_weeks_end_to_end(spark, tmp_path):
                                  "symbol string, session date, close double, close_capital double, volume double")
     member = spark.createDataFrame([(s, "S&P 500", dt.date(2026, 7, 1), 1) for s in ("AAA", "BBB", "CCC")], "symbol string, index_name string, session date, is_member int")
     for day, name in (("2026-07-31", "w1.csv"), ("2026-08-07", "w2.csv")):
-        snap = weekly.capture(spark, [str(tmp_path / name)], day, p["snap"])
+        snap = weekly.capture(spark, [str(tmp_path / name)], day, p["snap"], today="2026-08-10", row_tolerance=0.5, min_overlap=0.5)  # one of three names leaves
         panel = weekly.merge(snap, bars, member, p["panel"])
     with pytest.raises(FileExistsError):
         weekly.capture(spark, [str(tmp_path / "w2.csv")], "2026-08-07", p["snap"])
@@ -39,3 +40,39 @@ def test_two_weeks_end_to_end(spark, tmp_path):
     with pytest.raises(ValueError, match="AAA"):
         weekly.publish(leaky, str(tmp_path / "bad"))
     assert not (tmp_path / "bad").exists()
+
+
+def test_a_bad_export_leaves_nothing(spark, tmp_path):
+    snap = str(tmp_path / "snap")
+    full = [row(f"t{i}", "Hold", "$50", "Jul 01, 2026") for i in range(30)]
+    export(tmp_path / "w1.csv", full)
+    take = lambda name, day, **k: weekly.capture(spark, [str(tmp_path / name)], day, snap, today="2026-08-10", **k)
+    with pytest.raises(ValueError, match="future"):
+        take("w1.csv", "2026-08-11")
+    assert not (tmp_path / "snap").exists() and not (tmp_path / "snap-headers").exists()
+    assert take("w1.csv", "2026-07-31").count() == 30
+    with pytest.raises(ValueError, match="fresh"):
+        take("w1.csv", "2026-08-07")
+    export(tmp_path / "short.csv", full[:20])
+    with pytest.raises(ValueError, match="row count"):
+        take("short.csv", "2026-08-07")
+    (tmp_path / "lost.csv").write_text((tmp_path / "w1.csv").read_text().replace("Smart Score", "Points"))
+    with pytest.raises(ValueError, match="column regression"):
+        take("lost.csv", "2026-08-07")
+    assert {r["as_of"].day for r in store.load_stream(spark, snap, "weekly").select("as_of").distinct().collect()} == {31}
+    # a daily capture follows the weekly one, then its own stream by time
+    export(tmp_path / "d1.csv", [*full[:29], row("new", "Hold", "$50", "Jul 01, 2026")])
+    assert take("d1.csv", "2026-08-03", stream="daily", hhmm="0746", fallback="weekly").count() == 30
+    with pytest.raises(ValueError, match="fresh"):
+        take("d1.csv", "2026-08-03", stream="daily", hhmm="2200", fallback="weekly")
+    heads = {(r["stream"], r["hhmm"]): r for r in store.load_headers(spark, snap).collect()}
+    assert set(heads) == {("weekly", ""), ("daily", "0746")}
+    kept = heads["daily", "0746"]
+    assert (kept["n_raw"], kept["n_rows"], kept["n_dropped"], kept["files"]) == (30, 30, 0, ["d1.csv"]) and len(kept["sha256"]) == 1
+
+
+def test_a_stale_feed_stops_the_merge(spark, tmp_path):
+    proof = spark.createDataFrame([(False, True, True)], "fresh boolean, delisted_ok boolean, membership_ok boolean")
+    with pytest.raises(ValueError, match="fresh"):
+        weekly.merge(proof, proof, proof, str(tmp_path / "panel"), proof=proof)
+    assert not (tmp_path / "panel").exists()
