@@ -83,7 +83,7 @@ td AS (SELECT a.scheme, a.ticker, a.book_ord, a.weight - coalesce(p.weight, 0) A
     LEFT JOIN bk p ON p.scheme = a.scheme AND p.ticker = a.ticker AND p.book_ord = a.book_ord - 1
   UNION ALL SELECT a.scheme, a.ticker, a.book_ord + 1, -a.weight, a.adv_usd FROM bk a LEFT JOIN bk n ON n.scheme = a.scheme AND n.ticker = a.ticker
     AND n.book_ord = a.book_ord + 1 WHERE n.ticker IS NULL AND a.book_ord < (SELECT max(capture_ord) FROM caps)),
-tt AS (SELECT *, CASE WHEN adv_usd >= 1e8 THEN 3e0 WHEN adv_usd >= 25e6 THEN 8e0 WHEN adv_usd >= 10e6 THEN 15e0 END AS bps FROM td WHERE abs(ch) > 1e-12)"""
+tt AS (SELECT *, CASE WHEN adv_usd >= 1e8 THEN 3e0 WHEN adv_usd >= 25e6 THEN 8e0 ELSE 15e0 END AS bps FROM td WHERE abs(ch) > 1e-12)"""
 SQL["tiered_costs"] = f"""WITH {TRADES}
 SELECT scheme, book_ord, count(*) AS n_trades, {rnd('sum(abs(ch)) / 2', 6)} AS turnover, {rnd('sum(abs(ch) * bps)', 6)} AS tiered_bps,
   {rnd('sum(abs(ch) * 0)', 6)} AS flat_0_bps, {rnd('sum(abs(ch) * 5)', 6)} AS flat_5_bps, {rnd('sum(abs(ch) * 10)', 6)} AS flat_10_bps,

@@ -94,12 +94,16 @@ def trades(book: DataFrame, last_ord) -> DataFrame:
 
 
 def costs(moves: DataFrame) -> DataFrame:
-    """Turnover, tiered cost and flat-sweep costs per book; weights in fractions, costs in bps."""
+    """Turnover, tiered cost and flat-sweep costs per book; weights in fractions, costs in bps.
+
+    A trade whose dollar volume is unknown or below every tier pays the dearest one; no trade is free.
+    """
     size = F.abs("change")
+    tiered = F.coalesce(tier_bps(F.col("adv_usd")), F.lit(max(bps for _, bps in COST_TIERS)))
     return moves.groupBy("scheme", "book_ord").agg(
         F.count(F.lit(1)).alias("n_trades"),
         (F.sum(size) / 2.0).alias("turnover"),
-        F.sum(size * tier_bps(F.col("adv_usd"))).alias("tiered_bps"),
+        F.sum(size * tiered).alias("tiered_bps"),
         *[F.sum(size * F.lit(float(b))).alias(f"flat_{b}_bps") for b in FLAT_SWEEP],
     )
 

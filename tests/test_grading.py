@@ -101,6 +101,8 @@ def test_cohorts_and_costs(spark):
     c = {r["book_ord"]: r for r in pf.costs(pf.trades(book, F.lit(8))).collect()}
     assert c[1]["tiered_bps"] == pytest.approx(0.125 * 3 + 0.125 * 8) and c[7]["tiered_bps"] == pytest.approx(0.25 * 15)
     assert c[1]["flat_20_bps"] == pytest.approx(5.0) and c[1]["flat_0_bps"] == 0.0
+    thin = spark.createDataFrame([("S", 1, "A", None, 0.5), ("S", 1, "B", 9e6, -0.5)], "scheme string, book_ord int, ticker string, adv_usd double, change double")
+    assert pf.costs(thin).first()["tiered_bps"] == pytest.approx(15.0)
     assert spark.range(1).select(pf.tier_bps(F.lit(9e6))).first()[0] is None
 
 
