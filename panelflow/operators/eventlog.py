@@ -93,8 +93,8 @@ def confirmation_sweep(log: DataFrame, captures: DataFrame) -> DataFrame:
     ends = lambda side: captures.select(F.col("capture_ord").alias(f"{side}_ord"), F.col("et").alias(f"{side}_et"))
     conf = c("confirmed_up") + c("confirmed_down")
     return (
-        counts.join(F.broadcast(ends("a")), "a_ord")
-        .join(F.broadcast(ends("b")), "b_ord")
+        counts.join(ends("a"), "a_ord")
+        .join(ends("b"), "b_ord")
         .withColumn("changes", c("up") + c("down"))
         .select(
             "a_ord", "b_ord", "paired", "changes", "up", "down",

@@ -236,6 +236,16 @@ def breadth_view(panel: DataFrame) -> DataFrame:
     )
 
 
+def breadth_order(breadth: DataFrame) -> DataFrame:
+    """Display order of sector breadth: most net upgrades first, ties by sector."""
+    return breadth.orderBy("as_of", F.desc("net_upgrades"), "sector")
+
+
+def churn_order(names: DataFrame) -> DataFrame:
+    """Entered or left names by capture and key; sorted by range, so no capture is gathered in one task."""
+    return names.orderBy("as_of", "ticker")
+
+
 def entered(panel: DataFrame) -> DataFrame:
     """Liquid names not liquid at the capture before (the first capture has no window)."""
     return (

@@ -225,7 +225,7 @@ def all_schemes(rows: DataFrame) -> DataFrame:
 
 def after_registration(members: DataFrame, registered: DataFrame) -> DataFrame:
     """Clock start: a scheme is graded only on captures after its registration date."""
-    return members.join(F.broadcast(registered), "scheme").where("as_of > registered_on").drop("registered_on")
+    return members.join(registered, "scheme").where("as_of > registered_on").drop("registered_on")
 
 
 def event_counts(members: DataFrame, by: Sequence[str] = ("scheme", "as_of")) -> DataFrame:

@@ -99,10 +99,10 @@ def publish(panel: DataFrame, path: str) -> None:
     sections = {
         "weekly": rv.weekly_series(rows),
         "revision": rv.pair_counts(rows),
-        "breadth": rv.breadth_public(rows),
+        "breadth": rv.breadth_order(rv.breadth_public(rows)),
         "consensus": cs.consensus_mix(rows),
         "scores": cs.score_histogram(rows),
-        "by_sector": cs.sector_summary(rows).drop("pct_buy"),
+        "by_sector": cs.sector_order(cs.sector_summary(rows)).drop("pct_buy"),
         "universe": cs.index_counts(rows).select("as_of", "liquid", "sp500", "sp400"),
     }
     keys = panel.select(F.col("ticker").alias("key"))

@@ -104,6 +104,16 @@ def test_stance_and_latest(spark):
     assert [r["capture_ord"] for r in cs.nth_latest(p, 2).collect()] == [2]
 
 
+def test_display_orders(spark):
+    d1, d2 = D(2026, 8, 1), D(2026, 8, 8)
+    b = spark.createDataFrame([(d1, "A", 1), (d1, "C", 3), (d1, "B", 3), (d2, "A", -1), (d1, "D", -2)], "as_of date, sector string, net_upgrades int").repartition(3)
+    assert [(r[0].day, r[1]) for r in rv.breadth_order(b).collect()] == [(1, "B"), (1, "C"), (1, "A"), (1, "D"), (8, "A")]
+    n = spark.createDataFrame([(d2, "A"), (d1, "B"), (d1, "A")], "as_of date, ticker string").repartition(3)
+    assert [(r[0].day, r[1]) for r in rv.churn_order(n).collect()] == [(1, "A"), (1, "B"), (8, "A")]
+    s = spark.createDataFrame([(d1, "A", 1), (d1, "C", 5), (d1, "B", 5)], "as_of date, sector string, n int").repartition(3)
+    assert [r[1] for r in cs.sector_order(s).collect()] == ["B", "C", "A"]
+
+
 def bars(spark, symbol, closes, start=D(2026, 1, 1), volume=1e6):
     return [(symbol, start + dt.timedelta(days=i), c, c, volume) for i, c in enumerate(closes)]
 
