@@ -9,7 +9,10 @@ from panelflow.session import stored
 
 SHINGLE = 5  # words of a shingle
 THRESHOLD = 0.8  # weighted-shingle similarity of a leak
-RADIUS = 15  # Hamming distance of 64-bit fingerprints within which every item is a candidate
+BLOCKS, FLIPS = 8, 2  # blocks of a fingerprint, and bits by which an item's block is varied when it is filed
+# Hamming distance of 64-bit fingerprints within which every item is a candidate: 23. Windows at similarity 0.8 differ
+# by 9.4 bits with a deviation of 2.9, so that this is over four deviations away.
+RADIUS = BLOCKS * (FLIPS + 1) - 1
 BROADCAST_SHINGLES = 1_000_000  # benchmark shingles up to which they are broadcast (16 MB)
 
 
@@ -43,11 +46,17 @@ def fingerprints(counts: DataFrame, by: list[str]) -> DataFrame:
 
 
 def blocks(fp: Column) -> Column:
-    """The RADIUS + 1 blocks of a fingerprint: two fingerprints within RADIUS agree on one at least."""
-    edges = [64 * i // (RADIUS + 1) for i in range(RADIUS + 2)]
+    """The blocks of a fingerprint: of two fingerprints within RADIUS, one block at least differs by FLIPS bits or fewer."""
+    bits = 64 // BLOCKS
     return F.array(*[
-        F.struct(F.lit(i).alias("b"), F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (z - a)) - 1)).alias("v"))
-        for i, (a, z) in enumerate(zip(edges, edges[1:]))])
+        F.struct(F.lit(i).alias("b"), F.shiftrightunsigned(fp, i * bits).bitwiseAND(F.lit((1 << bits) - 1)).alias("v"))
+        for i in range(BLOCKS)])
+
+
+def around(block: Column) -> Column:
+    """A block and all that differ from it by FLIPS bits or fewer."""
+    masks = F.array(*[F.lit(m).cast("long") for m in range(1 << 64 // BLOCKS) if m.bit_count() <= FLIPS])
+    return F.transform(masks, lambda m: F.struct(block["b"].alias("b"), block["v"].bitwiseXOR(m).alias("v")))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -55,15 +64,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """One row per document and benchmark item it holds: id, item_id, similarity, start, n_words.
 
     Windows of an item's size are laid wherever a document has a shingle of that item, aligned by it: a window
-    that shares no shingle cannot be similar. Each window gets a SimHash; its RADIUS + 1 blocks are looked
-    up among the fingerprints of items of the same size, which guarantees every item within RADIUS; weighted
-    shingle similarity (sum of the smaller over sum of the larger counts, at least THRESHOLD) decides. start
+    that shares no shingle cannot be similar. Each window gets a SimHash; its BLOCKS blocks are looked
+    up among those of items of the same size, filed with up to FLIPS bits changed, which guarantees every item
+    within RADIUS; weighted shingle similarity (sum of the smaller over sum of the larger counts, at least THRESHOLD) decides. start
     is the window's first word.
 
     Only DataFrame operations. Benchmark shingles are counted first and broadcast up to BROADCAST_SHINGLES; beyond that the
     join is shuffled. Documents are scanned twice, the second time joined with their windows by id. The windows are
     kept as a table, so that Spark knows their size before it decides whether the texts must be shuffled to meet
-    them; the texts that have windows are kept too, as both the fingerprints and the verification read them.
+    them; the texts that have windows are kept too, as both the fingerprints and the verification read them. So are the
+    blocks of the items: where they are few, windows are not shuffled to meet them.
 
     Null and empty texts and items hold nothing. An item of fewer than SHINGLE words is one shingle, met only by a
     document of just these words. Rows that repeat an id count as one document that holds what any of
@@ -102,7 +112,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
     key = ["size", "_b.b", "_b.v"]
     left = prints.withColumn("_b", F.explode(blocks(F.col("fp")))).select("_id", "s", "fp", "n", *key)
-    right = item_prints.withColumn("_b", F.explode(blocks(F.col("item_fp")))).select("item", "version", "item_fp", "item_n", *key)
+    filed = item_prints.withColumn("_b", F.explode(blocks(F.col("item_fp")))).withColumn("_b", F.explode(around(F.col("_b"))))
+    right = stored(filed.select("item", "version", "item_fp", "item_n", *key), "leak-items")
     near = (
         left.join(right, ["size", "b", "v"]).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
         .select(*wid, "n", "item", "version", "item_n").distinct()

@@ -1,6 +1,8 @@
 """The operators on small tables: nulls, empty and repeated rows, missing ids, brute-force comparison."""
 
+import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -168,6 +170,48 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.find_leaks(empty, items).count() == 0
 
 
+def altered_items(count, seed):
+    """Items of invented words, each with a document that holds it with words altered at its end: up to similarity 0.8, or one more."""
+    draw = random.Random(seed)
+    say = lambda n: [f"w{draw.randrange(10**9)}" for _ in range(n)]
+    items, texts, near = [], [], set()
+    for i in range(count):
+        k = draw.randint(1, 6)
+        item, more = say(9 * k + 4), i % 4 == 0
+        changed = item[: len(item) - k - more] + say(k + more)
+        items.append((i, " ".join(item)))
+        texts.append((i, " ".join(say(draw.randint(0, 9)) + changed + say(draw.randint(0, 9)))))
+        near |= set() if more else {(i, i)}
+    return items, texts, near
+
+
+def weighted_leaks(items, texts):
+    """Pairs of a document and an item that one of its windows of the item's size holds at similarity 0.8, window by window."""
+    count = lambda w: collections.Counter(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4)))
+    out = set()
+    for item, wanted in items:
+        wanted = wanted.lower().split()
+        a = count(wanted)
+        for doc, text in texts:
+            w = text.lower().split()
+            if not set(w) & set(wanted):
+                continue
+            for s in range(max(1, len(w) - len(wanted) + 1)):
+                b = count(w[s:s + len(wanted)])
+                both = (a & b).total()
+                if 5 * both >= 4 * (a.total() + b.total() - both):
+                    out.add((doc, item))
+    return out
+
+
+def test_decontamination_finds_all_items_just_above_the_threshold(spark):
+    items, texts, near = altered_items(1200, 5)
+    assert weighted_leaks(items, texts) == near
+    found = decontaminate.find_leaks(
+        spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == near and min(r.similarity for r in found) == 0.8
+
+
 @pytest.mark.parametrize("module, label, floor", [(quality, "quality", 0.97), (toxicity, "toxic", 0.97)])
 def test_classifiers_on_held_out_rows(spark, docs, empty, module, label, floor):
     sf = "/root/testdata/sf0.1"
