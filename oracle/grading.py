@@ -188,3 +188,12 @@ g AS (SELECT bk.scheme, book_ord, sum(weight * a2) / sum(weight) AS gross FROM b
 c AS (SELECT scheme, book_ord, sum(abs(ch) * bps) AS cost FROM tt GROUP BY 1, 2)
 SELECT g.scheme, g.book_ord, {rnd('gross', 7)} AS gross, {rnd('coalesce(cost, 0)', 6)} AS cost_bps, {rnd('gross - coalesce(cost, 0) / 1e4', 7)} AS net
 FROM g LEFT JOIN c ON c.scheme = g.scheme AND c.book_ord = g.book_ord"""
+
+# the books of all five schemes, and cut-offs at quarter ends
+BOOKS = ALL5 + """,
+bm AS (SELECT scheme, capture_ord, ticker, adv_usd FROM mem)""" + BOOK[BOOK.index(",\nbn AS"):]
+for _name in ("cohort_weights", "tiered_costs", "book_performance", "book_net_alpha"):
+    SQL[f"{_name}_all"] = SQL[_name].replace(BOOK, BOOKS)
+SQL["quarterly_regrade_all"] = f"""WITH {ALL5}, {_SERIES},
+cut AS (SELECT DISTINCT CAST(date_trunc('quarter', as_of) + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE) AS cutoff FROM caps)
+SELECT scheme, cutoff, count(*) AS captures, {rnd('avg(r)', 7)} AS mean FROM se JOIN cut ON se.as_of <= cutoff GROUP BY 1, 2"""

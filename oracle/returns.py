@@ -63,6 +63,7 @@ SELECT fr.symbol, fr.as_of, fr.horizon, {rnd('ret_frac', 6)} AS ret_frac, {rnd('
   {rnd('ret_frac - beta * (m2.close / m1.close - 1e0) - drift * (SELECT count(*) FROM market m WHERE m.session > fr.entry_date AND m.session <= fr.exit_date)', 5)} AS alpha
 FROM fr JOIN risk ON risk.symbol = fr.symbol AND risk.as_of = fr.as_of LEFT JOIN market m1 ON m1.session = fr.entry_date
 LEFT JOIN market m2 ON m2.session = fr.exit_date WHERE ret_frac IS NOT NULL"""
+SQL["drift_adjusted_all"] = SQL["drift_adjusted"].replace("['1m', '3m']", _ALL)
 _D = "CAST(o_orderdate AS DATE)"
 SQL["business_days_back"] = f"SELECT o_orderkey, {back3(_D)} AS shifted FROM orders"
 SQL["session_snap"] = f"""SELECT o_orderkey, (SELECT max(CAST(l_shipdate AS DATE)) FROM lineitem WHERE CAST(l_shipdate AS DATE) <= CAST(o_orderdate AS DATE)) AS snapped FROM orders"""

@@ -309,13 +309,12 @@ def trailing_beta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(rt.trailing_risk(anchors, bars, dt.market_bars(spark, sf_dir)), beta=6, drift_per_session=6)
 
 
-@query("drift_adjusted")
-def drift_adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _adjusted(spark: SparkSession, sf_dir: str, horizons: list[str]) -> DataFrame:
     bars = dt.bars(spark, sf_dir)
     sessions = dt.sessions(spark, sf_dir)
     out = rt.drift_adjusted_returns(
         _anchors(bars, dt.panel_captures(spark, sf_dir)), bars, dt.market_bars(spark, sf_dir), sessions,
-        sessions.agg(F.max("session")).scalar(), ["1m", "3m"],
+        sessions.agg(F.max("session")).scalar(), horizons,
     )
     return _rounded(
         out.select("symbol", "as_of", "horizon", "ret_frac", "market_ret", "n_sessions_held", "alpha"),
@@ -323,6 +322,10 @@ def drift_adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+QUERIES["drift_adjusted"] = lambda spark, sf_dir: _adjusted(spark, sf_dir, ["1m", "3m"])
+QUERIES["drift_adjusted_all"] = lambda spark, sf_dir: _adjusted(spark, sf_dir, list(clock.HORIZONS))
+
+
 @query("business_days_back")
 def business_days_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     shifted = clock.business_days_back(F.to_date("o_orderdate"), 3)
@@ -367,6 +370,12 @@ def _book(rows: DataFrame, captures: DataFrame) -> DataFrame:
     return pf.cohort_weights(members, _last(captures))
 
 
+def _books(rows: DataFrame, captures: DataFrame) -> DataFrame:
+    """Books of all five schemes; the members are stored once, as their counts and their weights read them."""
+    members = stored(sc.all_schemes(rows).select("scheme", "capture_ord", "ticker", "adv_usd"), "book-members")
+    return stored(pf.cohort_weights(members, _last(captures)), "books")
+
+
 def _members(rows: DataFrame) -> DataFrame:
     picked = sc.all_schemes(rows).select("scheme", "as_of", "capture_ord", "ticker", "alpha_1w", "alpha_1m", "alpha_3m")
     return stored(picked, "members")
@@ -403,6 +412,11 @@ def _regrade(rows: DataFrame, captures: DataFrame) -> DataFrame:
     return inf.regrade(_series(_members(rows)), captures.select(year_end.alias("cutoff")).distinct())
 
 
+def _regrade_quarters(rows: DataFrame, captures: DataFrame) -> DataFrame:
+    quarter_end = F.to_date(F.date_trunc("quarter", F.col("as_of")) + F.expr("INTERVAL 3 MONTHS")) - F.expr("INTERVAL 1 DAY")
+    return inf.regrade(_series(_members(rows)), captures.select(quarter_end.cast("date").alias("cutoff")).distinct())
+
+
 def _axes(rows: DataFrame, _: DataFrame) -> DataFrame:
     rank = sg.label_rank(F.col("analyst_consensus"))
     news = F.col("news_sentiment")
@@ -462,6 +476,7 @@ graded("deflated_sharpe", lambda r, c: inf.deflated_sharpe(_series(_members(r)))
 graded("effective_trials", lambda r, c: inf.effective_trials(_series(_members(r))), mean_rho=6, effective_n=6)
 graded("verdicts", _verdicts, mean=7, dsr=5)
 graded("quarterly_regrade", _regrade, mean=7)
+graded("quarterly_regrade_all", _regrade_quarters, mean=7)
 graded("paper_track", lambda r, c: inf.paper_track(_series(_members(r))), net_alpha=7)
 graded(
     "decile_diagnostics",
@@ -526,9 +541,18 @@ on_log("identity_examples", lambda log, caps: idn.examples(idn.classify(log, cap
 QUERIES["leak_offenders"] = lambda spark, sf_dir: gd.offenders(leak_scan(spark, sf_dir))
 
 
-def _net(rows: DataFrame, captures: DataFrame) -> DataFrame:
-    book = stored(_book(rows, captures), "book")
+def _net_of(book: DataFrame, rows: DataFrame, captures: DataFrame) -> DataFrame:
     return pf.net_returns(pf.book_returns(book, rows, "alpha_1m"), pf.costs(pf.trades(book, _last(captures))))
 
 
-graded("book_net_alpha", _net, gross=7, cost_bps=6, net=7)
+graded("book_net_alpha", lambda r, c: _net_of(stored(_book(r, c), "book"), r, c), gross=7, cost_bps=6, net=7)
+
+# the same for the books of all five schemes
+graded("cohort_weights_all", lambda r, c: _books(r, c).drop("adv_usd"), weight=9)
+graded(
+    "tiered_costs_all",
+    lambda r, c: pf.costs(pf.trades(_books(r, c), _last(c))),
+    turnover=6, tiered_bps=6, flat_0_bps=6, flat_5_bps=6, flat_10_bps=6, flat_20_bps=6,
+)
+graded("book_performance_all", lambda r, c: pf.book_returns(_books(r, c), r, "alpha_1m"), mean=7, hit_rate=6)
+graded("book_net_alpha_all", lambda r, c: _net_of(_books(r, c), r, c), gross=7, cost_bps=6, net=7)

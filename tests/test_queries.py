@@ -56,6 +56,17 @@ def test_top_k_is_limited_inside_tasks(spark, name):
     assert "WindowGroupLimit" in plan_of(spark, name)
 
 
+@pytest.mark.parametrize("name", ["cohort_weights_all", "tiered_costs_all", "book_performance_all", "book_net_alpha_all"])
+def test_books_of_all_five_schemes(spark, name):
+    assert {r.scheme for r in QUERIES[name](spark, SF).select("scheme").distinct().collect()} == {"S1a", "S1b", "S1c", "S2", "S3"}
+
+
+def test_all_horizons_and_quarter_ends(spark):
+    assert {r.horizon for r in QUERIES["drift_adjusted_all"](spark, SF).select("horizon").distinct().collect()} == {"1w", "1m", "3m"}
+    ends = {r.cutoff for r in QUERIES["quarterly_regrade_all"](spark, SF).select("cutoff").distinct().collect()}
+    assert {d.month for d in ends} == {3, 6, 9, 12} and all(d.day >= 30 for d in ends)
+
+
 def test_entry(spark):
     df = entry_points.entry(spark)
     assert df.count() > 0 and "upgrades" in df.columns
