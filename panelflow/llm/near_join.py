@@ -207,14 +207,15 @@ def _sketches(join: Join, buckets: int):
                 at = (d1 % np.uint64(buckets)).astype(np.int32)
                 tokens, kept, number = tokens[np.repeat(lead, sizes)], sizes[lead], sizes.astype(np.int64)
                 yield from _rows(at[lead], SET, sig=d1[lead], sig2=d2[lead], a=key[lead], n=number[lead], print=prints(tokens, kept))
-                yield from _rows(at[~lead], LOCAL_COPY, a=key[~lead], hub=key[rep[~lead]], n=number[~lead])
+                # what need not meet anything goes to a bucket of its own key: a hot set or signature is spread
+                yield from _rows(keyed.block_of(key[~lead], buckets), LOCAL_COPY, a=key[~lead], hub=key[rep[~lead]], n=number[~lead])
                 sig, of = signatures(tokens, kept, join)
                 mine = key[lead][of]
                 order, new, hub = _stars(sig, mine)
                 first, rest = order[new], order[~new]
                 spot = (sig % np.uint64(buckets)).astype(np.int32)
                 yield from _rows(spot[first], SKETCH, sig=sig[first], a=mine[first])
-                yield from _rows(spot[rest], LOCAL_EDGE, sig=sig[rest], a=mine[rest], hub=mine[hub[~new]])
+                yield from _rows(keyed.block_of(mine[rest], buckets), LOCAL_EDGE, sig=sig[rest], a=mine[rest], hub=mine[hub[~new]])
     return run
 
 
@@ -367,8 +368,8 @@ def near_classes(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id", t
 
     1. Every text becomes a set of shingle hashes; equal sets form a class, led by its smallest key.
     2. Signatures of the sets' parity sketches meet in buckets. A signature's members are joined to its
-       smallest key, first inside a task, then in the bucket, so a signature costs a task one row and pairs are never
-       all formed.
+       smallest key, first inside a task, then in the bucket, so a signature costs a task one row in its bucket and pairs
+       are never all formed. What was joined inside a task travels in buckets of its own keys.
     3. Joined classes whose fixed-size prints differ in too many bits are not linked; the others are verified with
        their exact sets, and components of the links taken.
     4. Where a joined pair is not linked and still apart, the members of its signature meet further hubs; those that

@@ -6,6 +6,9 @@ import random
 import re
 import zlib
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from panelflow.llm import chat, decontaminate, exact_dedup, near_join, packing, quality, secrets, sharding, substrings, toxicity
@@ -124,6 +127,26 @@ def test_near_join_equals_brute_force(spark, rule):
     assert got == part
 
 
+def test_near_copies_joined_inside_a_task_are_spread_over_the_buckets():
+    base = [f"w{i}" for i in range(200)]
+    texts = pa.array([" ".join(base[:200 - i % 2]) for i in range(400)])
+    keys = pa.array(range(400), pa.int64())
+    batch = pa.RecordBatch.from_arrays([keys, texts], ["key", "text"])
+    out = pa.Table.from_batches(list(near_join._sketches(near_join.Join(k=3, num=9, den=10), 8)(iter([batch]))))
+    held = collections.Counter()
+    for row in out.filter(pc.equal(out["kind"], near_join.LOCAL_COPY)).to_pylist():
+        held[row["bucket"]] += len(row["a"]) // 8
+    assert held.total() == 398 and len(held) == 8 and max(held.values()) < 398 // 3
+    far = [" ".join([*base, f"end{i}"]) for i in range(400)]
+    batch = pa.RecordBatch.from_arrays([keys, pa.array(far)], ["key", "text"])
+    out = pa.Table.from_batches(list(near_join._sketches(near_join.Join(k=3, num=9, den=10), 8)(iter([batch]))))
+    of = collections.defaultdict(set)
+    for row in out.filter(pc.equal(out["kind"], near_join.LOCAL_EDGE)).to_pylist():
+        for sig in np.frombuffer(row["sig"], np.uint64).tolist():
+            of[sig].add(row["bucket"])
+    assert max(map(len, of.values())) == 8
+
+
 def test_near_join_of_odd_tables(docs, empty):
     assert near_join.near_classes(docs).count() == len(ROWS) and near_join.near_classes(empty).count() == 0
 
