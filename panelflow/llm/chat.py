@@ -84,8 +84,10 @@ def format_windows(
 
     spans = placed.filter("_opens").select(F.col("_c").alias("_sc"), F.col("_span").alias("_w"), F.col("_from").alias("_at"))
     fresh = placed.select("*", F.col("_span").alias("_w"), F.lit(True).alias("_fresh"))
-    # three following spans always begin more than `history` tokens later than the fourth
-    again = placed.select("*", F.explode(F.array(*[F.col("_span") + k for k in (1, 2, 3)])).alias("_w"))
+    # Spans that begin at most `history` tokens after a turn: each long one is over stride tokens, so there are
+    # history // stride + 1 of them at most; they and the history // stride + 1 cells that begin there part the short ones.
+    following = 3 if history <= stride else 3 * (history // stride) + 4
+    again = placed.select("*", F.explode(F.array(*[F.col("_span") + k for k in range(1, following + 1)])).alias("_w"))
     here = F.col("_c").eqNullSafe(F.col("_sc"))
     repeated = again.join(spans, here & (again["_w"] == spans["_w"])).filter(F.col("_at") - F.col("_from") <= history)
     system = placed.filter((F.col("_no") == 0) & (F.col("_r") == "system"))

@@ -87,6 +87,18 @@ def test_chat_round_trip(spark):
     assert chat.read_back(chat.format_windows(frame.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("history", [256, 511])
+def test_chat_repeats_all_turns_within_the_history(spark, history):
+    draw = random.Random(history)
+    talks = [[251, 5, 5, 257, 5, 300]] + [[draw.choice([5, 5, 9, 130, 257, 258, 300]) for _ in range(40)] for _ in range(30)]
+    turns = [(c, i, "user", "x" * (4 * (n - 4))) for c, talk in enumerate(talks) for i, n in enumerate(talk)]
+    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    for r in chat.format_windows(frame, budget=1024, history=history).collect():
+        begin = [sum(talks[r.conv_id][:i]) for i in range(len(talks[r.conv_id]))]
+        at = min(p.turn_no for p in r.parts if p.fresh)
+        assert [p.turn_no for p in r.parts if not p.fresh] == [i for i in range(at) if begin[at] - begin[i] <= history]
+
+
 def test_secrets_equal_a_full_scan(docs, empty):
     for r in secrets.find_secrets(docs).collect():
         text = next(t for i, t, _ in ROWS if i == r.doc_id) or ""
