@@ -88,7 +88,7 @@ def scan_block(texts: list[str], rules: tuple[Rule, ...] = RULES) -> list[list[t
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_assign, n_access, n_hex, base_sha256, spans.
 
-    Each rule's regex yields a Boolean query over trigrams; every block of rows gets an inverted index of
+    Each rule's literals, given by hand beside its regex, yield a Boolean query over trigrams; every block of rows gets an inverted index of
     the trigrams asked for, a query intersects postings, and only candidates meet the regex. The
     rule `hex` has no mandatory trigram and scans all texts. Blocks are Arrow batches of the scan: no
     shuffle, and a lost task rebuilds its block from the input.
