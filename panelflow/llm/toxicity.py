@@ -39,7 +39,7 @@ def entries_of(word: str) -> list[str]:
     return [word, *(word[:k] + "*" for k in STEMS if len(word) > k)]
 
 
-# The composed grammar. States remember what a clause has said so far; a transition on a token class gives
+# The clause grammar, written by hand as one product table. States remember what a clause has said so far; a transition on a token class gives
 # the next state and the factor on the token's weight. Insults and threats are the only classes that emit.
 #   0 start   1 target seen   2 negated   3 reported   4 negated and target   5 reported and target
 _NEXT = {
