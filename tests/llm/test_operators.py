@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
 
+import corpus_pipeline
 from panelflow.llm import chat, decontaminate, exact_dedup, near_join, packing, quality, secrets, sharding, substrings, toxicity
 from panelflow.llm.queries import tokenizer_path
 
@@ -247,6 +248,38 @@ def test_decontamination_finds_all_items_just_above_the_threshold(spark):
     assert {(r.doc_id, r.item_id) for r in found} == near and min(r.similarity for r in found) == 0.8
 
 
+def test_pipeline_stages_drop_what_brute_force_drops(spark, tmp_path):
+    items, texts, near = altered_items(60, 9)
+    long = [" ".join(f"l{i}_{j}" for j in range(100)) for i in range(20)]
+    cut = lambda t, i, k: " ".join([*t.split()[:100 - k], *(f"n{i}_{j}" for j in range(k))])
+    docs = [*texts, *enumerate(long, 100), *((200 + i, t) for i, (_, t) in enumerate(texts[:10]))]
+    docs += [(300 + i, cut(t, i, 10 + i % 2)) for i, t in enumerate(long)]  # similarity 86/106 or 85/107
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    at = spark.createDataFrame(docs, "doc_id long, text string")
+    for stage in (corpus_pipeline.drop_copies, corpus_pipeline.drop_near_copies, corpus_pipeline.drop_leaks):
+        at = stage(spark, at, str(tmp_path))
+    leaking = {d for d, _ in weighted_leaks(items, texts)}
+    assert leaking == {d for d, _ in near}
+    assert sorted(r.doc_id for r in at.collect()) == sorted([
+        *({d for d, _ in texts} - leaking), *range(100, 120), *(300 + i for i in range(20) if i % 2)])
+
+
+def test_plan_is_as_cheap_as_the_best_of_all_windows():
+    draw = random.Random(3)
+    for _ in range(200):
+        length = draw.choice([8, 32, 256])
+        ends = np.cumsum([draw.randint(1, length // 2) for _ in range(draw.randint(1, 40))])
+        costs = np.array([draw.choice([0.0, 1.0, 5.0]) for _ in ends])
+        pos, price = [0, *ends.tolist()], dict(zip(ends.tolist(), costs.tolist()))
+        window = lambda a, b: (0 if (b - a).bit_count() == 1 and b - a >= 64 else length - (b - a)) + price[b]
+        best = {0: 0.0}
+        for b in pos[1:]:
+            best[b] = min(best[a] + window(a, b) for a in pos if a < b <= a + length)
+        cuts = packing.plan(ends, costs, length, final=False)
+        assert sum(window(a, b) for a, b in zip(cuts, cuts[1:])) == best[cuts[-1]]
+        assert best[cuts[-1]] + cuts[-1] == min(best[b] + b for b in pos[1:] if b >= pos[-1] - length)
+
+
 @pytest.mark.parametrize("module, label, floor", [(quality, "quality", 0.97), (toxicity, "toxic", 0.97)])
 def test_classifiers_on_held_out_rows(spark, docs, empty, module, label, floor):
     sf = "/root/testdata/sf0.1"
