@@ -8,7 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelflow.llm import chat, decontaminate, exact_dedup, near_join, packing, quality, secrets, sharding, substrings, toxicity
+from panelflow.llm import (
+    chat, decontaminate, exact_dedup, middle, near_join, packing, quality, secrets, sharding, substrings, toxicity,
+)
+from panelflow.session import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -85,3 +88,9 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     rule = near_join.Join(k=3, num=9, den=10)
     return near_join.near_classes(table(spark, sf_dir, "documents"), rule).select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = stored(middle.to_frames(table(spark, sf_dir, "documents")), "frames")
+    return middle.digests(middle.transform(frames))
