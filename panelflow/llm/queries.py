@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelflow.llm import (
-    chat, decontaminate, exact_dedup, middle, near_join, packing, quality, secrets, sharding, substrings, toxicity,
+    chat, decontaminate, exact_dedup, middle, near_join, packing, phrases, quality, secrets, sharding, substrings, toxicity,
+    url_filter,
 )
 from panelflow.session import stored
 
@@ -94,3 +95,13 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = stored(middle.to_frames(table(spark, sf_dir, "documents")), "frames")
     return middle.digests(middle.transform(frames))
+
+
+@query
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+@query
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
