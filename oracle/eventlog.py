@@ -82,6 +82,13 @@ SQL["stream_revision"] = f"""WITH {EVENTS}
 SELECT b.capture_ord AS w, count(*) AS paired, count(*) FILTER (b.lab < a.lab) AS upgrades, count(*) FILTER (b.lab > a.lab) AS downgrades,
   count(*) FILTER (b.best_target / a.best_target - 1 >= 0.0025e0) AS raises, count(*) FILTER (b.best_target / a.best_target - 1 <= -0.0025e0) AS cuts
 FROM elog b JOIN elog a ON a.ticker = b.ticker AND a.capture_ord = b.capture_ord - 1 GROUP BY 1"""
+SQL["stream_windows"] = SQL["target_flow_windows"]
+SQL["stream_late"] = f"""WITH {EVENTS}, h AS (SELECT max(capture_ord) AS top, CAST(floor(max(capture_ord) / 2e0) AS INTEGER) AS half FROM cap),
+a AS (SELECT elog.*, half, top, capture_ord <= half AND (capture_ord = 1 OR coalesce(lab = 2, FALSE)) AS late FROM elog, h),
+r AS (SELECT *, cap_ts IN (SELECT cap_ts FROM a WHERE NOT late) AS known FROM a WHERE late OR capture_ord = top)
+SELECT r.ticker, strftime(r.cap_ts, '%Y-%m-%d %H:%M:%S') AS captured,
+  CASE WHEN NOT known THEN 'capture not after the last one' ELSE 'record not after the last one' END AS reason
+FROM r WHERE NOT known OR EXISTS (SELECT 1 FROM a WHERE a.ticker = r.ticker AND NOT a.late AND a.cap_ts >= r.cap_ts)"""
 SQL["stream_distinct_captures"] = "SELECT DISTINCT sha256(props) AS sha256 FROM events"
 SQL["identity_examples"] = f"""WITH {IDENT} SELECT ticker, moves FROM cls WHERE moves > 0 AND reverted AND rating_static
 ORDER BY moves DESC, ticker LIMIT 12"""

@@ -193,6 +193,16 @@ def within_span(sweep: DataFrame, min_changes: int = 3, min_range_hours: float =
 # ---- target flow ---------------------------------------------------------------------------
 
 
+def target_percent(before: Column, now: Column) -> Column:
+    """Move of a target in per cent; null where a target is absent or the one before is 0."""
+    return (now - before) / F.nullif(before, F.lit(0.0)) * 100.0
+
+
+def past_floor(pct: Column, floor_pct: float = FLOW_FLOOR_PCT, strict_reference: bool = False) -> Column:
+    keep = F.abs(pct) >= floor_pct
+    return keep if strict_reference else keep & (pct != 0)
+
+
 def flow_rows(log: DataFrame, floor_pct: float = FLOW_FLOOR_PCT, strict_reference: bool = False) -> DataFrame:
     """Adjacent-capture target moves of each name; window `w` runs from capture w-1 to capture w.
 
@@ -202,10 +212,8 @@ def flow_rows(log: DataFrame, floor_pct: float = FLOW_FLOOR_PCT, strict_referenc
     w = Window.partitionBy("ticker").orderBy("capture_ord")
     prev = F.lag(F.struct("capture_ord", "et", F.col("best_analyst_price_target").alias("t"))).over(w)
     a, b = F.col("_p.t"), F.col("best_analyst_price_target")
-    pct = (b - a) / F.nullif(a, F.lit(0.0)) * 100.0
-    keep = F.abs(pct) >= floor_pct
-    if not strict_reference:
-        keep = keep & (pct != 0)
+    pct = target_percent(a, b)
+    keep = past_floor(pct, floor_pct, strict_reference)
     return (
         log.withColumn("_p", prev)
         .where(F.col("_p.capture_ord") == F.col("capture_ord") - 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelflow.functions import cells, clock
@@ -26,6 +26,7 @@ from panelflow.sources import driver_tables as dt
 from panelflow.session import scratch_path, stored
 from panelflow.sources import exports as ex
 from panelflow.streaming import captures as stc
+from panelflow.streaming import merge as mg
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -489,32 +490,79 @@ graded("axis_attribution", _axes, positive_mean=7, negative_mean=7)
 
 # ---- streaming -----------------------------------------------------------------------------
 
-_STREAMED = ["ticker", "capture_ord", "analyst_consensus", "best_analyst_price_target"]
+_LOGGED = ["ticker", "cap_ts", "analyst_consensus", "best_analyst_price_target", "rating_date"]
+_LABEL, _TARGET = "analyst_consensus", "best_analyst_price_target"
+
+
+def _revision_measures() -> dict[str, Column]:
+    direction = sg.label_direction(F.col(f"p.{_LABEL}"), F.col(_LABEL))
+    move = sg.target_move(F.col(f"p.{_TARGET}"), F.col(_TARGET))
+    return {
+        "paired": F.count(F.lit(1)), "upgrades": F.count_if(direction > 0), "downgrades": F.count_if(direction < 0),
+        "raises": F.count_if(move > 0), "cuts": F.count_if(move < 0),
+    }
+
+
+def _flow_measures() -> dict[str, Column]:
+    day = lambda c: F.to_date(clock.singapore_to_eastern(F.col(c)))
+    pct = ev.target_percent(F.col(f"p.{_TARGET}"), F.col(_TARGET))
+    moved = ev.past_floor(pct)
+    return {
+        "paired": F.count(pct), "moves": F.count_if(moved), "raises": F.count_if(moved & (pct > 0)), "cuts": F.count_if(moved & (pct <= 0)),
+        "dated": F.count_if(moved & sg.within(F.col("rating_date"), day("p.cap_ts"), day("cap_ts"))),
+    }
+
+
+def _merged(spark: SparkSession, log: DataFrame, arrivals: list[Column], measures: dict[str, Column], twice: bool = False):
+    """The log fed to a LogMerge in several arrivals, each run to its end; with `twice` every batch is merged again, as after a failure."""
+    root = scratch_path(spark, "stream")
+    held = mg.LogMerge(f"{root}/merged", "ticker", "cap_ts", (_LABEL, _TARGET), measures, compact_every=2)
+    for arrival in arrivals:
+        log.where(arrival).select(*_LOGGED).write.mode("append").parquet(f"{root}/log")
+        stream = stc.capture_stream(spark, f"{root}/log", log.select(*_LOGGED).schema)
+        merge = held.sink(stream)
+
+        def sink(batch: DataFrame, batch_id: int) -> None:
+            for _ in range(2 if twice else 1):
+                merge(batch, batch_id)
+
+        stc.run_available(stream, sink, f"{root}/state")
+    return held, log.select(*_LOGGED).schema
+
+
+def _arrivals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column, Column]:
+    captures = dt.event_instants(spark, sf_dir)
+    log = stored(dt.event_log(spark, sf_dir, captures).select("capture_ord", *_LOGGED), "log")
+    half = F.col("capture_ord") <= captures.agg(F.floor(F.max("capture_ord") / 2)).scalar()
+    return log, half, ~half
 
 
 @query("stream_revision")
 def stream_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Moves per window from the stateful stream over the capture log, fed in two arrivals."""
-    captures = dt.event_instants(spark, sf_dir)
-    log = dt.event_log(spark, sf_dir, captures).select(*_STREAMED)
-    root = scratch_path(spark, "stream")
-    half = captures.agg(F.floor(F.max("capture_ord") / 2)).scalar()
-    for arrival in (F.col("capture_ord") <= half, F.col("capture_ord") > half):
-        log.where(arrival).write.mode("append").parquet(f"{root}/log")
-        records = stc.with_previous(
-            stc.capture_stream(spark, f"{root}/log", log.schema), "ticker", "capture_ord", _STREAMED[2:]
-        )
-        stc.run_available(records, stc.batch_writer(f"{root}/out"), f"{root}/state")
-    paired = stc.adjacent_only(spark.read.parquet(f"{root}/out"))
-    direction = sg.label_direction(F.col("p.analyst_consensus"), F.col("analyst_consensus"))
-    move = sg.target_move(F.col("p.best_analyst_price_target"), F.col("best_analyst_price_target"))
-    return paired.groupBy(F.col("capture_ord").alias("w")).agg(
-        F.count(F.lit(1)).alias("paired"),
-        F.count_if(direction > 0).alias("upgrades"),
-        F.count_if(direction < 0).alias("downgrades"),
-        F.count_if(move > 0).alias("raises"),
-        F.count_if(move < 0).alias("cuts"),
-    )
+    """Moves per window as the merges of the streamed capture log add them up, fed in two arrivals."""
+    log, early, later = _arrivals(spark, sf_dir)
+    held, schema = _merged(spark, log, [early, later], _revision_measures())
+    return held.window_rows(spark, schema).where("paired > 0").select("w", *_revision_measures())
+
+
+@query("stream_windows")
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target flow per window from the stream, every batch merged twice; equals the batch query."""
+    log, early, later = _arrivals(spark, sf_dir)
+    held, schema = _merged(spark, log, [early, later], _flow_measures(), twice=True)
+    return held.window_rows(spark, schema).select(
+        "w", "kind", "hours", "paired", "moves", "raises", "cuts",
+        F.round(F.try_divide(F.col("dated"), F.col("moves")), 4).alias("dated_share"))
+
+
+@query("stream_late")
+def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Side table of rejected records: the early holds and the whole second capture arrive last, the newest capture arrives again."""
+    log, early, later = _arrivals(spark, sf_dir)
+    log = log.withColumn("_newest", F.col("capture_ord") == log.agg(F.max("capture_ord")).scalar())
+    last = early & (F.coalesce(F.col(_LABEL) == "Hold", F.lit(False)) | (F.col("capture_ord") == 1))
+    held, schema = _merged(spark, log, [early & ~last, later, last | F.col("_newest")], _revision_measures())
+    return held.rejected(spark, schema).select("ticker", F.date_format("cap_ts", "yyyy-MM-dd HH:mm:ss").alias("captured"), "reason")
 
 
 @query("stream_distinct_captures")
