@@ -85,3 +85,36 @@ SQL["guard_marker_scan"] = f"""WITH {PAIRS}, d(marker, hit) AS (VALUES ('"ticker
   ('"table"', FALSE), ('best_analyst_price_target', FALSE), ('last_rating_date', FALSE))
 SELECT marker, CASE WHEN hit THEN (SELECT count(*) FROM em) ELSE 0 END AS n_rows FROM d"""
 SQL["leak_offenders"] = SQL["leak_scan"] + " ORDER BY key LIMIT 10"
+
+_ATTEMPTS = """p AS (SELECT *, CASE WHEN year(o_orderdate) <= 1996 THEN 1 WHEN year(o_orderdate) <= 1998 THEN 2 ELSE 3 END AS period,
+    CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS pg FROM orders JOIN customer ON c_custkey = o_custkey),
+f AS (SELECT *, row_number() OVER (PARTITION BY period, o_custkey ORDER BY pg, o_orderkey) AS rn FROM p),
+n AS (SELECT period, count(*) AS n_raw, count(DISTINCT o_custkey) AS n_rows FROM p GROUP BY 1),
+-- attempt, date, export, export of the newest earlier capture, filed
+a(attempt, as_of, cur, pri, filed) AS (VALUES (1, DATE '1996-12-31', 1, NULL, TRUE), (2, DATE '1997-06-30', 1, 1, FALSE), (3, DATE '1998-06-30', 2, 1, FALSE),
+  (4, DATE '1998-12-31', 2, 1, TRUE), (5, DATE '1998-12-31', 3, 1, FALSE), (6, DATE '2001-12-31', 3, 2, TRUE), (7, DATE '2002-06-30', 3, 3, FALSE)),
+d(period, day) AS (VALUES (1, DATE '1996-12-31'), (2, DATE '1998-12-31'), (3, DATE '2001-12-31')),
+m AS (SELECT a.*, c.n_raw, q.n_rows AS p_rows, d.day AS p_day, attempt = 3 AS lost,
+   (SELECT count(*) FROM (SELECT o_custkey FROM p WHERE period = cur INTERSECT SELECT o_custkey FROM p WHERE period = pri)) AS common
+  FROM a JOIN n c ON c.period = cur LEFT JOIN n q ON q.period = pri LEFT JOIN d ON d.period = pri)"""
+SQL["capture_flow"] = f"""WITH {_ATTEMPTS}
+SELECT attempt, as_of, 'file readable' AS "check", n_raw > 0 AS ok, CAST(n_raw AS VARCHAR) AS detail FROM m
+UNION ALL SELECT attempt, as_of, 'core columns present', NOT lost, CASE WHEN lost THEN 'smart_score' ELSE '' END FROM m
+UNION ALL SELECT attempt, as_of, 'no column regression', NOT lost, CASE WHEN lost THEN 'smart_score' ELSE '' END FROM m WHERE pri IS NOT NULL
+UNION ALL SELECT attempt, as_of, 'unmapped columns', TRUE, CASE WHEN lost THEN 'Points' ELSE '' END FROM m WHERE pri IS NOT NULL
+UNION ALL SELECT attempt, as_of, 'row count vs prior', abs((n_raw - p_rows) / CAST(p_rows AS DOUBLE)) <= 5e0,
+  CAST(round((n_raw - p_rows) / CAST(p_rows AS DOUBLE) * 100e0, 4) AS VARCHAR) FROM m WHERE pri IS NOT NULL
+UNION ALL SELECT attempt, as_of, 'key overlap vs prior', common / CAST(p_rows AS DOUBLE) >= 0.3e0, CAST(round(common / CAST(p_rows AS DOUBLE) * 100e0, 4) AS VARCHAR)
+  FROM m WHERE pri IS NOT NULL
+UNION ALL SELECT attempt, as_of, 'export is fresh', cur <> pri, '' FROM m WHERE pri IS NOT NULL
+UNION ALL SELECT attempt, as_of, 'prior capture', TRUE, 'none found' FROM m WHERE pri IS NULL
+UNION ALL SELECT attempt, as_of, 'as-of not in the future', attempt <> 7, CAST(as_of AS VARCHAR) FROM m
+UNION ALL SELECT attempt, as_of, 'capture is after the prior one', as_of > p_day, CAST(p_day AS VARCHAR) FROM m WHERE pri IS NOT NULL
+UNION ALL SELECT attempt, as_of, 'not already captured', attempt <> 5, CASE attempt WHEN 5 THEN '2' ELSE '1' END FROM m
+UNION ALL SELECT attempt, as_of, 'filed', filed, '' FROM m
+UNION ALL SELECT 0, day, 'held', TRUE, count(*) FILTER (rn = 1) || ' ' || CAST(sum(o_orderkey * 1000 + 250) FILTER (rn = 1) AS BIGINT) || ' ' ||
+  count(*) FILTER (rn > 1) || ' ' || count(*) || ' Volume' FROM f JOIN d ON d.period = f.period GROUP BY day"""
+SQL["quarantined_documents"] = """SELECT coalesce(source, 'none') AS source, count(*) FILTER (coalesce(lang <> 'de', TRUE)) AS records,
+  CAST(coalesce(sum(length(text)) FILTER (coalesce(lang <> 'de', TRUE)), 0) AS BIGINT) AS chars, count(*) FILTER (lang = 'de') AS quarantined,
+  CAST(coalesce(sum(length('{doc_id":' || doc_id || ',"lang":"de","n":' || length(text) || '}')) FILTER (lang = 'de'), 0) AS BIGINT) AS held_chars
+FROM documents GROUP BY 1"""

@@ -138,12 +138,16 @@ def normal_cdf(z: Column) -> Column:
     return F.when(z >= 0, 1.0 - upper).otherwise(upper)
 
 
+def expected_peak(trials: int) -> float:
+    """Expected maximum of that many standard normals."""
+    inv = NormalDist().inv_cdf
+    return (1 - EULER) * inv(1 - 1 / trials) + EULER * inv(1 - 1 / (trials * math.e))
+
+
 def deflated_sharpe(series: DataFrame, trials: int = N_SCHEMES) -> DataFrame:
     """Sharpe ratio of each scheme's per-capture series deflated for `trials` schemes."""
     c = F.col
-    # scalar of the parameter `trials`: expected maximum of that many standard normals
-    inv = NormalDist().inv_cdf
-    peak = (1 - EULER) * inv(1 - 1 / trials) + EULER * inv(1 - 1 / (trials * math.e))
+    peak = expected_peak(trials)
     m = series.groupBy("scheme").agg(
         F.count(F.lit(1)).alias("t"), F.avg("r").alias("mu"), F.stddev_samp("r").alias("sd"),
         F.skewness("r").alias("skew"), (F.kurtosis("r") + 3.0).alias("kurt"),

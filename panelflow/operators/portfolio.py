@@ -50,6 +50,27 @@ def retention_band(ranked: DataFrame, share: str = "rank_share", entry: float =
     )
 
 
+def retained(band: DataFrame, enters: str, life: int = COHORT_LIFE, by: Sequence[str] = ("ticker",)) -> DataFrame:
+    """Rows of names held at each formation of a cohort lane, from rows inside the wider band.
+
+    `band` has the rows at which a name may stay, `enters` tells where it may also enter. Formations of a lane lie
+    `life` captures apart; rows that follow each other there form an island, and a name is held from
+    its first entry in the island on. A name has one row per capture.
+    """
+    c = F.col
+    lane = Window.partitionBy(*by, "_lane").orderBy("capture_ord")
+    opens = F.coalesce(c("capture_ord") - F.lag("capture_ord").over(lane) != life, F.lit(True))
+    marked = band.withColumn("_lane", c("capture_ord") % life).withColumn("_island", F.sum(opens.cast("int")).over(lane))
+    sofar = Window.partitionBy(*by, "_lane", "_island").orderBy("capture_ord").rowsBetween(Window.unboundedPreceding, 0)
+    return marked.withColumn("_held", F.bool_or(enters).over(sofar)).where("_held").drop("_lane", "_island", "_held")
+
+
+def on_trade_day(moves: DataFrame, rows: DataFrame) -> DataFrame:
+    """Trades with the dollar volume of the day they are made; a name off the panel that day has none."""
+    day = rows.select(F.col("capture_ord").alias("book_ord"), "ticker", "adv_usd")
+    return moves.drop("adv_usd").join(day, ["book_ord", "ticker"], "left")
+
+
 def capped_top(rows: DataFrame, value: str, top: int = 20, per_sector: int = 5) -> DataFrame:
     """Best `top` names with at most `per_sector` per sector.
 

@@ -69,6 +69,12 @@ def forward_returns(
         series.withColumn("exit_date", c("session")).withColumnRenamed("close", "exit"),
         ["symbol"], "end_date", "session", ["exit_date", "exit"],
     )
+    return _judged(rows, feed_end, stale_sessions)
+
+
+def _judged(rows: DataFrame, feed_end: Column, stale_sessions: int) -> DataFrame:
+    """Forward return, delisted flag and reason of rows with entry, exit, end_date, sym_last and _known."""
+    c = F.col
     stale = c("sym_last") < clock.business_days_back(feed_end, stale_sessions)
     ended = F.coalesce(c("_known"), stale) & (c("sym_last") < c("end_date"))
     dark = c("sym_last") < clock.business_days_back(c("end_date"), stale_sessions)
@@ -97,6 +103,49 @@ def forward_returns(
     )
 
 
+# ---- fixed values: days a horizon can span from its entry day --------------------------------
+SPANS = {"1w": (7,), "1m": (28, 29, 30, 31), "3m": (89, 90, 91, 92)}
+
+
+def bar_exits(series: DataFrame, horizons: Sequence[str]) -> DataFrame:
+    """Each bar as an entry: the symbol's last session, and the exit of every horizon counted from the bar.
+
+    The end of a horizon lies a few possible day counts on, so an exit is the last bar inside one of as many
+    frames of the same ordered window; all of them need one shuffle by symbol.
+    """
+    w = Window.partitionBy("symbol").orderBy(F.unix_date("session"))
+    bar = F.struct(F.col("session").alias("exit_date"), F.col("close").alias("exit"))
+    found = []
+    for h in horizons:
+        end = clock.horizon_end(F.col("session"), h)
+        exits = [F.when(F.date_diff(end, F.col("session")) == n, F.last(bar).over(w.rangeBetween(0, n))) for n in SPANS[h]]
+        found.append(F.struct(F.lit(h).alias("horizon"), end.alias("end_date"), F.coalesce(*exits).alias("at")))
+    return series.select(
+        "symbol", "session", F.col("session").alias("entry_date"), F.col("close").alias("entry"),
+        F.max("session").over(Window.partitionBy("symbol")).alias("sym_last"), F.array(*found).alias("exits"),
+    )
+
+
+def graded_returns(anchors: DataFrame, bars: DataFrame, market: DataFrame, data_asof: Column, horizons: Sequence[str] = tuple(clock.HORIZONS)) -> DataFrame:
+    """beta, drift_per_session and alpha_<horizon> per (symbol, as_of): `forward_returns` with drift adjustment in one as-of pass.
+
+    Anchors meet the bars once; entry and all exits come with the bar they meet. Market closes and session
+    numbers are joined by date (one row per session). `bars` and `market` should be stored, as several steps read them.
+    """
+    entries = bar_exits(closes(bars), horizons)
+    met = asof_join(anchors.select("symbol", "as_of"), entries, ["symbol"], "as_of", "session", ["entry_date", "entry", "sym_last", "exits"])
+    rows = met.where("entry_date IS NOT NULL").select("symbol", "as_of", "entry_date", "entry", "sym_last", F.inline("exits")).select(
+        "symbol", "as_of", "entry_date", "entry", "sym_last", "horizon", "end_date", "at.*", F.lit(None).cast("boolean").alias("_known"))
+    realised = _judged(rows, data_asof, STALE_SESSIONS).where("ret_frac IS NOT NULL")
+    held = market_returns(sessions_between(realised, market.select("session")), market)
+    risk = trailing_risk(anchors, bars, market).select("symbol", "as_of", "beta", "drift_per_session")
+    c = F.col
+    alpha = drift_adjust(c("ret_frac"), c("market_ret"), c("beta"), c("drift_per_session"), c("n_sessions_held"))
+    wide = held.join(risk, ["symbol", "as_of"]).groupBy("symbol", "as_of").agg(
+        *[F.max(F.when(c("horizon") == h, alpha)).alias(f"alpha_{h}") for h in horizons])
+    return risk.join(wide, ["symbol", "as_of"], "left")
+
+
 def daily_returns(series: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Fractional returns with the session at which each trailing window of returns starts."""
     w = Window.partitionBy(*keys).orderBy("session")

@@ -7,12 +7,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelflow.functions import cells, clock
 from panelflow.functions import signals as sg
 from panelflow.operators import asof as ao
 from panelflow.operators import crosssection as cs
 from panelflow.operators import eventlog as ev
+from panelflow.operators import grading as gr
 from panelflow.operators import guards as gd
 from panelflow.operators import identity as idn
 from panelflow.operators import inference as inf
@@ -22,9 +24,11 @@ from panelflow.operators import returns as rt
 from panelflow.operators import revision as rv
 from panelflow.operators import schemes as sc
 from panelflow.operators import universe as un
+from panelflow.plans import weekly
 from panelflow.sources import driver_tables as dt
 from panelflow.session import scratch_path, stored
 from panelflow.sources import exports as ex
+from panelflow.sources import store as st
 from panelflow.streaming import captures as stc
 from panelflow.streaming import merge as mg
 
@@ -243,6 +247,58 @@ def dq_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ql.capture_checks(headers, members, today="2001-06-01")
 
 
+@query("capture_flow")
+def capture_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every check of seven capture attempts over CSV exports of the orders, whether each was filed, and what the store holds then.
+
+    Filed: the three periods. Refused: the first export again under a later key, the second without its score column, a
+    second capture under a filed key, and one dated after today.
+    """
+    root = scratch_path(spark, "flow")
+    exports, snaps = f"{root}/exports", f"{root}/snapshots"
+    dt.period_exports(spark, sf_dir, exports)
+    lost = spark.read.option("header", True).csv(f"{exports}/period=2").drop("page").withColumnRenamed("Smart Score", "Points")
+    lost.write.option("header", True).csv(f"{root}/lost")
+    days = [day for _, _, day in dt.PERIODS]
+    attempts = [
+        ("period=1", days[0]), ("period=1", "1997-06-30"), (None, "1998-06-30"), ("period=2", days[1]),
+        ("period=3", days[1]), ("period=3", days[2]), ("period=3", "2002-06-30"),
+    ]
+    said = []
+    for no, (name, day) in enumerate(attempts, 1):
+        source = f"{exports}/{name}" if name else f"{root}/lost"
+        records, header, checks = weekly.examine(spark, [source], day, snaps, today="2002-01-31", row_tolerance=5.0, min_overlap=0.3)
+        mine = stored(checks.where(F.col("as_of") == F.to_date(F.lit(day))), "checks")
+        passed = mine.where("NOT ok").isEmpty()
+        if passed:
+            st.file_capture({snaps: records, st.header_path(snaps): header}, "weekly", day, "", snaps)
+        outcome = spark.range(1).select(
+            F.to_date(F.lit(day)).alias("as_of"), F.lit("filed").alias("check"), F.lit(passed).alias("ok"), F.lit("").alias("detail"))
+        said.append(mine.unionByName(outcome).withColumn("attempt", F.lit(no)))
+    held = st.load_stream(spark, snaps, "weekly").groupBy("as_of").agg(F.count(F.lit(1)).alias("n"), F.sum("price").cast("bigint").alias("price"), F.sum("n_dropped").alias("dropped"))
+    heads = st.load_headers(spark, snaps).select("as_of", "n_raw", F.array_join("unmapped_columns", ",").alias("unmapped"))
+    detail = F.concat_ws(" ", *[F.col(c).cast("string") for c in ("n", "price", "dropped", "n_raw", "unmapped")])
+    kept = held.join(heads, "as_of").select("as_of", F.lit("held").alias("check"), F.lit(True).alias("ok"), detail.alias("detail"), F.lit(0).alias("attempt"))
+    return reduce(DataFrame.unionByName, said).unionByName(kept).select("attempt", "as_of", "check", "ok", "detail")
+
+
+@query("quarantined_documents")
+def quarantined_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readable and quarantined records per file of a JSON store in which the texts of one language were written unquoted."""
+    root = scratch_path(spark, "documents")
+    docs = dt.table(spark, sf_dir, "documents")
+    line = F.to_json(F.struct("doc_id", "lang", F.length("text").alias("n")))
+    torn = F.concat(F.lit("{"), F.substring(line, 3, 10_000))  # without its first quote mark
+    rows = docs.select(F.when(F.col("lang") == "de", torn).otherwise(line).alias("value"), F.coalesce("source", F.lit("none")).alias("source"))
+    rows.repartition("source").write.partitionBy("source").text(f"{root}/lines")
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("n", T.LongType())])
+    good, bad = st.scan_json_captures(spark, f"{root}/lines", schema, multi_line=False)
+    return good.groupBy("source").agg(F.count(F.lit(1)).alias("records"), F.sum("n").cast("bigint").alias("chars")).join(
+        bad.groupBy("source").agg(F.count(F.lit(1)).alias("quarantined"), F.sum(F.length("record")).cast("bigint").alias("held_chars")), "source", "full").select(
+        "source", F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("chars", F.lit(0)).alias("chars"),
+        F.coalesce("quarantined", F.lit(0)).alias("quarantined"), F.coalesce("held_chars", F.lit(0)).alias("held_chars"))
+
+
 @query("asof_prior_capture")
 def asof_prior_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ql.prior_captures(dt.both_streams(spark, sf_dir), "daily", "weekly")
@@ -604,3 +660,58 @@ graded(
 )
 graded("book_performance_all", lambda r, c: pf.book_returns(_books(r, c), r, "alpha_1m"), mean=7, hit_rate=6)
 graded("book_net_alpha_all", lambda r, c: _net_of(_books(r, c), r, c), gross=7, cost_bps=6, net=7)
+
+
+# ---- grading on realised returns -----------------------------------------------------------
+
+
+def _realised(spark: SparkSession, sf_dir: str, captures: DataFrame) -> DataFrame:
+    bars, market = dt.feed(spark, sf_dir)
+    feed_end = market.agg(F.max("session")).scalar()
+    return rt.graded_returns(_anchors(bars, captures), bars, market, feed_end)
+
+
+@query("graded_returns")
+def graded_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _realised(spark, sf_dir, dt.panel_captures(spark, sf_dir))
+    return _rounded(rows, beta=6, drift_per_session=6, alpha_1w=5, alpha_1m=5, alpha_3m=5)
+
+
+def realised(name: str, operator: Callable[[DataFrame, DataFrame, DataFrame], DataFrame], **digits: int) -> None:
+    """Register an operator over (rows with realised and style-neutral alphas, retained members, captures)."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        captures = dt.panel_captures(spark, sf_dir)
+        panel = dt.ratings_panel(spark, sf_dir, captures).withColumn("symbol", dt.panel_symbol(F.col("ticker")))
+        priced = panel.join(_realised(spark, sf_dir, captures), ["symbol", "as_of"], "left")
+        rows = stored(gr.neutral_alphas(stored(sc.scheme_rows(priced), "priced")), "neutral")
+        # every scheme was registered on the day of the first capture and is graded on later ones
+        picked = gr.retained_members(rows)
+        registered = captures.agg(F.min("as_of").alias("registered_on")).withColumn("scheme", F.explode(F.array(*[F.lit(x) for x in gr.SCHEMES])))
+        members = stored(sc.after_registration(picked, registered), "retained")
+        return _rounded(operator(rows, members, captures), **digits)
+
+    QUERIES[name] = run
+
+
+def _quarter_ends(captures: DataFrame) -> DataFrame:
+    end = F.to_date(F.date_trunc("quarter", F.col("as_of")) + F.expr("INTERVAL 3 MONTHS")) - F.expr("INTERVAL 1 DAY")
+    return captures.select(end.cast("date").alias("cutoff")).distinct()
+
+
+def _last_cut(captures: DataFrame) -> DataFrame:
+    return _quarter_ends(captures).agg(F.max("cutoff").alias("cutoff"))
+
+
+def _net(rows: DataFrame, members: DataFrame, captures: DataFrame) -> DataFrame:
+    return stored(gr.net_series(members, gr.book_costs(members, rows, _last(captures))), "net-series")
+
+
+realised("retained_book_costs", lambda r, m, c: gr.book_costs(m, r, _last(c)),
+         turnover=6, tiered_bps=6, flat_0_bps=6, flat_5_bps=6, flat_10_bps=6, flat_20_bps=6)
+realised("retained_top20", lambda r, m, c: gr.retained_top(r, _UP).select("as_of", "ticker", "place", "sector"))
+realised("graded_net_alpha", _net, gross=7, gross_1w=7, gross_3m=7, cost_bps=6, net=7)
+realised("block_bootstrap_net", lambda r, m, c: gr.bootstrap(gr.graded(_net(r, m, c)), _last_cut(c)), mean=7, ci_low=7, ci_high=7)
+realised("drift_matched_null", lambda r, m, c: gr.null_tests(*gr.null_states(r, m), _last_cut(c)), actual=7, null_mean=7, p_value=6)
+realised("quarterly_verdicts", lambda r, m, c: gr.verdicts(_net(r, m, c), *gr.null_states(r, m), c, _quarter_ends(c)),
+         mean=7, ci_low=7, ci_high=7, p_value=6, dsr=5)

@@ -33,18 +33,15 @@ def _prior(spark: SparkSession, snapshots: str, as_of: str, hhmm: str, stream: s
     return None
 
 
-def capture(
+def examine(
     spark: SparkSession, pages: Sequence[str], as_of: str, snapshots: str, stream: str = "weekly", hhmm: str = "", force: bool = False,
     fallback: str | None = None, today: str | None = None, row_tolerance: float = ROW_TOLERANCE, min_overlap: float = MIN_OVERLAP,
-) -> DataFrame:
-    """Read, normalise, check and freeze one capture with its header; returns the frozen records.
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Records, header and integrity checks of an export, nothing filed.
 
-    Every integrity check runs before anything is filed: against the newest earlier capture of the stream,
-    or of `fallback` (a daily capture may follow a weekly one). A failed check raises and leaves
-    nothing behind. A capture filed without a header is not compared with.
+    The export's headers are held against those of the newest earlier capture of the stream, or of `fallback`, as
+    they were filed; copies are counted in the store. A capture filed without a header is not compared with.
     """
-    if not force:
-        store.refuse_frozen(spark, snapshots, stream, as_of, hhmm)
     raw = exports.read_pages(spark, pages)
     n_raw = raw.count()
     if not n_raw:
@@ -65,10 +62,25 @@ def capture(
     if prior is not None:
         heads = heads.unionByName(number(prior[0].select(read), 1))
         members = members.unionByName(number(prior[1], 1))
-    quality.gate(quality.capture_checks(heads.withColumn("copies", F.lit(1)), members, today, force, row_tolerance, min_overlap))
+    copies = F.when(F.col("capture_ord") == 2, store.copies(spark, snapshots, stream, as_of, hhmm) + 1).otherwise(1)
+    checks = quality.capture_checks(heads.withColumn("copies", copies), members, today, force, row_tolerance, min_overlap)
+    return records, header, checks
+
 
-    store.write_snapshot(records, snapshots, stream, as_of, hhmm, force)
-    store.write_snapshot(header.drop("hhmm"), store.header_path(snapshots), stream, as_of, hhmm, force=True)
+def capture(
+    spark: SparkSession, pages: Sequence[str], as_of: str, snapshots: str, stream: str = "weekly", hhmm: str = "", force: bool = False,
+    fallback: str | None = None, today: str | None = None, row_tolerance: float = ROW_TOLERANCE, min_overlap: float = MIN_OVERLAP,
+) -> DataFrame:
+    """Read, normalise, check and freeze one capture with its header; returns the frozen records.
+
+    Every integrity check runs before anything is filed. A failed check raises and leaves nothing behind; records
+    and header are filed as one act, so a crash in between leaves nothing a reader sees.
+    """
+    if not force:
+        store.refuse_frozen(spark, snapshots, stream, as_of, hhmm)
+    records, header, checks = examine(spark, pages, as_of, snapshots, stream, hhmm, force, fallback, today, row_tolerance, min_overlap)
+    quality.gate(checks)
+    store.file_capture({snapshots: records, store.header_path(snapshots): header}, stream, as_of, hhmm, snapshots, force)
     return store.load_snapshot(spark, snapshots, stream, as_of).where(F.col("hhmm") == hhmm)
 
 

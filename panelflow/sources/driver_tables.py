@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 from panelflow.functions import clock
 from panelflow.operators.asof import number_captures, state_at_captures
 from panelflow.schema import ADV_FLOOR, PRICE_FLOOR, TARGET_INDICES
-from panelflow.session import settle
+from panelflow.session import settle, stored
 
 COVERAGE_DAYS = 730
 EVENT_STEP_HOURS = 31
@@ -169,6 +169,23 @@ def market_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bars(table(spark, sf_dir, "lineitem"), F.lit("MARKET")).drop("symbol")
 
 
+def feed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Bars per brand and the market proxy from one pass over the lines, whose sums are stored once."""
+    part = table(spark, sf_dir, "part").select("p_partkey", feed_symbol(F.col("p_brand")).alias("symbol"))
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_partkey").alias("p_partkey"), F.to_date("l_shipdate").alias("session"),
+        F.col("l_quantity").cast("decimal(18,0)").alias("q"), F.col("l_extendedprice").cast("decimal(18,2)").alias("v"),
+    )
+    sums = stored(lines.join(part, "p_partkey").groupBy("symbol", "session").agg(F.sum("v").alias("v"), F.sum("q").alias("q")), "feed")
+    close = (F.sum("v").cast("double") / F.sum("q").cast("double")).alias("close")
+    return sums.groupBy("symbol", "session").agg(close), sums.groupBy("session").agg(close)
+
+
+def panel_symbol(ticker: Column) -> Column:
+    """Feed symbol that a panel name is priced by: one of the 25 brands."""
+    return F.concat(F.lit("BRAND-"), (ticker % 25 + 1).cast("string"))
+
+
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("session")).distinct()
 
@@ -326,6 +343,37 @@ def raw_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# first year, last year, date of the export
+PERIODS = ((1995, 1996, "1996-12-31"), (1997, 1998, "1998-12-31"), (1999, 2001, "2001-12-31"))
+
+
+def period_exports(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """CSV exports of all orders below `path`: one folder per period, in it one per priority page, rows by order key."""
+    o = table(spark, sf_dir, "orders")
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_mktsegment")
+    period = F.coalesce(*[F.when(F.year("o_orderdate") <= last, i) for i, (_, last, _) in enumerate(PERIODS, 1)], F.lit(len(PERIODS)))
+    key = F.col("o_orderkey")
+    rows = o.join(c, "o_custkey").select(
+        period.alias("period"), F.substring("o_orderpriority", 1, 1).cast("int").alias("page"), key.alias("_row"),
+        F.concat(F.lit("t"), F.col("o_custkey").cast("string")).alias("Ticker"),
+        F.col("c_name").alias("Name"),
+        F.col("c_mktsegment").alias("Sector"),
+        F.concat(F.lit("$"), key.cast("string"), F.lit(".25K")).alias("Price"),
+        F.concat(F.lit("$"), (key * 5).cast("string"), F.lit("M")).alias("Market Cap"),
+        F.concat(F.lit("$"), (key * 3).cast("string")).alias("Best Price Target Upside"),
+        F.concat(F.lit("$"), (key * 2).cast("string"), F.lit("M")).alias("Analyst Price Target"),
+        F.substring("o_orderpriority", 3, 20).alias("Analyst Consensus"),
+        F.substring("o_orderpriority", 3, 20).alias("Best Analyst Consensus"),
+        F.date_format("o_orderdate", "MMM dd, yyyy").alias("Last Rating Date"),
+        F.when(F.col("o_orderstatus") == "P", "n/a").otherwise((key % 10 + 1).cast("string")).alias("Smart Score"),
+        F.col("o_orderstatus").alias("Insider Signal"),
+        F.lit("41,527,325.00").alias("Volume"),
+    )
+    # ranges of (period, page, key) keep the order of rows in the order of file names
+    ranged = rows.repartitionByRange("period", "page", "_row").sortWithinPartitions("period", "page", "_row").drop("_row")
+    ranged.write.partitionBy("period", "page").option("header", True).csv(path)
+
+
 def capture_headers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Header and member tables of the raw quarterly exports."""
     o = table(spark, sf_dir, "orders").select(
