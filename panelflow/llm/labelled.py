@@ -17,7 +17,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out:
 
     The rows are those whose ids have the smallest hashes. Labels are reduced to ids first, so their
     broadcast has at most `bound` rows and the texts are not shuffled. Null labels and ids do not count;
-    of several labels of one id the largest counts.
+    of several labels of one id the largest counts, and of several texts of one id the smallest, so the bound
+    holds however often ids repeat.
     """
     known = (
         labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull())
@@ -26,4 +27,5 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out:
     )
     chosen = known.orderBy(F.xxhash64("_lid"), "_lid").limit(bound)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.join(F.broadcast(chosen), F.col("id") == F.col("_lid")).select("id", "text", "y")
+    met = rows.join(F.broadcast(chosen), F.col("id") == F.col("_lid"))
+    return met.groupBy("id", "y").agg(F.min("text").alias("text")).select("id", "text", "y")

@@ -139,7 +139,8 @@ def fit(examples: DataFrame) -> np.ndarray:
     over its rows in the order of their id's hash, and averaged; only the averaged weights, of which there
     are at most 2 ** BITS + 1, reach the driver. Without labelled rows all weights are 0 (score 0.5).
     """
-    rows = examples.mapInArrow(_examples, "id long, y int, i array<int>, x array<float>")
+    kind = examples.schema["id"].dataType.simpleString()
+    rows = examples.mapInArrow(_examples, f"id {kind}, y int, i array<int>, x array<float>")
     rows = rows.withColumn("order", F.xxhash64("id")).repartition(SHARDS, F.pmod("order", F.lit(SHARDS)))
     per_shard = rows.select("order", "y", "i", "x").mapInPandas(_fit, "i int, w double")
     got = per_shard.groupBy("i").agg((F.sum("w") / SHARDS).alias("w")).toPandas()

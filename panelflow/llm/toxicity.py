@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +18,6 @@ SAMPLE = 30_000  # labelled rows used for fitting, at most
 LEXICON = 20_000  # learned entries, at most
 STEMS = (4, 5, 6)  # lengths of the word beginnings that may be entries
 EVIDENCE = 14.0  # log-likelihood ratio an entry needs
-CLAUSE_WORDS = 40  # a clause without marks ends after so many words
 
 # Function words of the grammar in English, French, German and Spanish, and threat verbs.
 TARGETS = "you your yours he she they him her them tu toi vous te vos ton ta il elle ils elles du dich dir ihr euch sie er tú vosotros usted ustedes ellos ellas él ella".split()
@@ -39,23 +40,54 @@ def entries_of(word: str) -> list[str]:
     return [word, *(word[:k] + "*" for k in STEMS if len(word) > k)]
 
 
-# The clause grammar, written by hand as one product table. States remember what a clause has said so far; a transition on a token class gives
-# the next state and the factor on the token's weight. Insults and threats are the only classes that emit.
-#   0 start   1 target seen   2 negated   3 reported   4 negated and target   5 reported and target
-_NEXT = {
-    TARGET: (1, 1, 4, 5, 4, 5), NEGATION: (2, 4, 2, 3, 4, 5), REPORT: (3, 5, 3, 3, 5, 5),
-    INSULT: (0, 1, 0, 3, 1, 5), THREAT: (0, 1, 0, 3, 1, 5), OTHER: (0, 1, 2, 3, 4, 5),
-}
-_EMIT = {INSULT: (1.0, 1.5, 0.4, 0.5, 0.6, 0.75), THREAT: (0.2, 1.0, 0.1, 0.1, 0.3, 0.4)}
+@dataclass(frozen=True)
+class Transducer:
+    """Weighted finite-state transducer over token classes: state and class to next state and factor; others keep the state at factor 1."""
+
+    steps: dict[tuple[int, int], tuple[int, float]]
+
+    def step(self, state: int, kind: int) -> tuple[int, float]:
+        return self.steps.get((state, kind), (state, 1.0))
+
+
+# What each part of the grammar does to the weight of an insult or a threat that follows it in the clause.
+INSULTS = Transducer({(0, THREAT): (0, 1.0), (0, INSULT): (0, 1.0)})
+THREATENING = Transducer({(0, THREAT): (0, 0.2), (0, TARGET): (1, 1.0), (1, THREAT): (1, 1.0), (1, TARGET): (1, 1.0)})
+AIMED = Transducer({(0, TARGET): (1, 1.0), (1, INSULT): (1, 1.5)})
+NEGATED = Transducer({(0, NEGATION): (1, 1.0), (1, INSULT): (0, 0.4), (1, THREAT): (0, 0.4)})
+REPORTED = Transducer({(0, REPORT): (1, 1.0), (1, INSULT): (1, 0.5), (1, THREAT): (1, 0.4)})
+
+
+def compose(parts: tuple[Transducer, ...]) -> tuple[dict[tuple[int, int], int], dict[tuple[int, int], float]]:
+    """One transducer that does what all parts do side by side: next state and factor per reachable state and class.
+
+    A state stands for the tuple of the parts' states, a factor is the product of theirs.
+    """
+    numbers, follow, factor = {(0,) * len(parts): 0}, {}, {}
+    open_ = list(numbers)
+    while open_:
+        at = open_.pop()
+        for kind in range(6):
+            moved = [p.step(s, kind) for p, s in zip(parts, at)]
+            to = tuple(m[0] for m in moved)
+            if to not in numbers:
+                numbers[to] = len(numbers)
+                open_.append(to)
+            follow[numbers[at], kind] = numbers[to]
+            factor[numbers[at], kind] = math.prod(m[1] for m in moved)
+    return follow, factor
+
+
+_NEXT, _FACTOR = compose((INSULTS, THREATENING, AIMED, NEGATED, REPORTED))
 
 
 def clause_score(classes: list[int], weights: list[float]) -> float:
-    """Weight of the best path of one clause through the grammar (it is deterministic): emitted weights, summed."""
+    """Weight of a clause's path through the composed grammar (it is deterministic): insults and threats emit, summed."""
     state, total = 0, 0.0
     for c, w in zip(classes, weights):
-        if c in _EMIT:
-            total += w * _EMIT[c][state]
-        state = _NEXT[c][state]
+        if c in (INSULT, THREAT):
+            total += w * _FACTOR[state, c]
+        state = _NEXT[state, c]
     return total
 
 
@@ -141,18 +173,16 @@ class Grammar:
         opens = np.zeros(len(codes), bool)
         opens[1:] = ends[:-1] | (own[1:] != own[:-1])
         clause = np.cumsum(opens)
-        first = np.concatenate([[0], np.flatnonzero(opens)])
-        last = np.append(first[1:], len(codes))
-        for c in np.unique(clause[(kind == INSULT) | (kind == THREAT)]):
-            a, b = first[c], last[c]
-            for at in range(a, b, CLAUSE_WORDS):
-                to = min(b, at + CLAUSE_WORDS)
-                s = clause_score(kind[at:to].tolist(), weight[at:to].tolist())
-                if s > 0:
-                    row = out[own[a]]
-                    row[0] += s
-                    row[1] = max(row[1], s)
-                    row[2] += 1
+        # other words leave the grammar's state as it is, so only the rest of a clause is walked, whatever its length
+        said = np.flatnonzero(kind != OTHER)
+        cuts = np.flatnonzero(np.diff(clause[said])) + 1
+        for part in np.split(said, cuts) if len(said) else ():
+            s = clause_score(kind[part].tolist(), weight[part].tolist())
+            if s > 0:
+                row = out[own[part[0]]]
+                row[0] += s
+                row[1] = max(row[1], s)
+                row[2] += 1
         out[:, 2] *= 100.0 / np.maximum(counts, 1)
         return out
 
