@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections import deque
 from collections.abc import Iterator
 from itertools import chain, repeat
 
@@ -40,23 +39,25 @@ def plan(ends: np.ndarray, costs: np.ndarray, length: int = LENGTH, final: bool
     cost = [0.0, *costs.tolist()]
     exact = _exact_windows(np.asarray(pos), length)
     f, back = [0.0] * len(pos), [0] * len(pos)
-    queue: deque[tuple[float, int, int]] = deque([(0.0, 0, 0)])  # f(i) + i, position, number
+    g = [0.0] * len(pos)  # f(i) + i
+    queue, head = [0], 0  # cuts whose g ascends; the first within reach has the least
     for j in range(1, len(pos)):
         at = pos[j]
-        while queue[0][1] < at - length:
-            queue.popleft()
-        best, _, come = queue[0]
-        best += length - at
+        reach = at - length
+        while pos[queue[head]] < reach:
+            head += 1
+        come = queue[head]
+        best = g[come] + length - at
         if j in exact:
             for k in exact[j]:
                 if f[k] < best:
                     best, come = f[k], k
         best += cost[j]
         f[j], back[j] = best, come
-        best += at
-        while queue and queue[-1][0] >= best:
+        g[j] = best = best + at
+        while len(queue) > head and g[queue[-1]] >= best:
             queue.pop()
-        queue.append((best, at, j))
+        queue.append(j)
     last = len(pos) - 1
     if final:
         tail = _powers_of_two(pos, f, back, last, length)
@@ -222,8 +223,10 @@ def _boundaries(doc_ends: np.ndarray, sentence_ends: np.ndarray, word_ends: np.n
     if len(ends) and gaps.max() > length:
         ends = np.unique(np.concatenate([ends, *(np.arange(e - g + length, e, length) for e, g in zip(ends[gaps > length], gaps[gaps > length]))]))
     cost = np.full(len(ends), WORD_COST)
-    cost[np.isin(ends, sentence_ends)] = SENTENCE_COST
-    cost[np.isin(ends, doc_ends)] = 0.0
+    for some, price in ((sentence_ends, SENTENCE_COST), (doc_ends, 0.0)):  # all ascend
+        if len(some):
+            at = np.minimum(np.searchsorted(some, ends), len(some) - 1)
+            cost[some[at] == ends] = price
     return ends, cost
 
 
@@ -263,7 +266,7 @@ class Packer:
         a, b = edges[:-1], edges[1:]
         doc = np.searchsorted(doc_ends, a, side="right")
         window = np.searchsorted(cuts, a, side="right") - 1
-        raw = ids.astype("<u4").tobytes()
+        raw = memoryview(ids.astype("<u4")).cast("B")
         out = {
             "name": names.take(pa.array(doc)), "start": a - (doc_ends - left)[doc] + before[doc], "length": b - a,
             "crc": np.fromiter((zlib.crc32(raw[4 * x:4 * y]) for x, y in zip(a.tolist(), b.tolist())), np.int64, len(a)),
