@@ -206,7 +206,8 @@ def null_states(rows: DataFrame, members: DataFrame, drift: str = "drift_per_ses
         .repartition(inf.spread(rows), "scheme", "as_of", "bin", "rep")
         .withColumn("key", key)
         .withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), c("k") - 1)))
-        .withColumn("idx", permuted(c("i"), c("group_n"), c("key")))
+        # never null, so that the join asks for no null check, which would work the permutation out twice
+        .withColumn("idx", F.coalesce(permuted(c("i"), c("group_n"), c("key")), F.lit(-1)))
     )
     null = draws.join(numbered.select("as_of", "bin", "idx", "value"), ["as_of", "bin", "idx"]).groupBy("scheme", "as_of", "rep").agg(
         F.sum("value").alias("s"), F.count(F.lit(1)).alias("n"))
