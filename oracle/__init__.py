@@ -1,5 +1,5 @@
 """DuckDB statements the registered queries are compared with."""
 
-from oracle import eventlog, grading, panel, quality, realised, returns, universe
+from oracle import documents, eventlog, grading, panel, quality, realised, returns, universe
 
-ORACLE_SQL: dict[str, str] = {**panel.SQL, **universe.SQL, **eventlog.SQL, **quality.SQL, **returns.SQL, **grading.SQL, **realised.SQL}
+ORACLE_SQL: dict[str, str] = {**panel.SQL, **universe.SQL, **eventlog.SQL, **quality.SQL, **returns.SQL, **grading.SQL, **realised.SQL, **documents.SQL}

@@ -134,8 +134,8 @@ def accrual(captures: DataFrame, today: str) -> DataFrame:
     )
 
 
-def panel_view(panel: DataFrame) -> DataFrame:
-    """The displayed panel row with the lens gates.
+def panel_view(panel: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """The displayed panel row with the lens gates; columns of the panel named in `carry` come along as they are.
 
     The price gate compares with the capture's median of values already rounded to one decimal;
     rounding also bounds the value-count buffer of the median.
@@ -156,6 +156,7 @@ def panel_view(panel: DataFrame) -> DataFrame:
         "insider_signal", "investor_sentiment", "news_sentiment", "dividend_yield",
         F.round(F.coalesce(F.col("market_cap"), F.lit(0.0)) / 1e9, 1).alias("mktcap_b"),
         F.when(F.array_contains("member_of", TARGET_INDICES[0]), "500").otherwise("400").alias("idx"),
+        *carry,
     )
     return (
         attach_per_capture(view, gate)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,6 +60,61 @@ def banned_text(published: DataFrame, text: str) -> DataFrame:
     return published.agg(F.array(*cells).alias("_m")).select(F.inline("_m"))
 
 
+def _leaves(path: Column, value: Column, kind: T.DataType) -> Column:
+    """Array of (path, role, text, number) of one value; nested types are walked by their schema, lists and maps by their entries."""
+    if isinstance(kind, T.StructType):
+        parts = [_leaves(F.concat(path, F.lit(f".{f.name}")), value.getField(f.name), f.dataType) for f in kind.fields]
+        return F.concat(*parts) if parts else F.array().cast(LEAVES)
+    if isinstance(kind, T.ArrayType):
+        each = F.transform(value, lambda v, i: _leaves(F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), v, kind.elementType))
+        return F.coalesce(F.flatten(each), F.array().cast(LEAVES))
+    if isinstance(kind, T.MapType):
+        def entry(e: Column) -> Column:
+            key = e.getField("key").cast("string")
+            return F.concat(_leaf(path, "key", key), _leaves(F.concat(path, F.lit("."), key), e.getField("value"), kind.valueType))
+        return F.coalesce(F.flatten(F.transform(F.map_entries(value), entry)), F.array().cast(LEAVES))
+    if isinstance(kind, T.NumericType):
+        return _leaf(path, "value", F.lit(None), value)
+    return _leaf(path, "value", value)
+
+
+LEAVES = "array<struct<path:string,role:string,text:string,number:double>>"
+
+
+def _leaf(path: Column, role: str, text: Column, number: Column | None = None) -> Column:
+    number = F.lit(None) if number is None else number
+    return F.array(F.struct(
+        path.alias("path"), F.lit(role).alias("role"), text.cast("string").alias("text"), number.cast("double").alias("number"))).cast(LEAVES)
+
+
+def leaves(document: DataFrame) -> DataFrame:
+    """Every value and every map key of nested rows, at any depth: (path, role, text, number).
+
+    Numbers are in `number`, all else in `text`; a null value keeps its row. A null list or map has no entries.
+    """
+    parts = [_leaves(F.lit(f.name), F.col(f"`{f.name}`"), f.dataType) for f in document.schema.fields]
+    return document.select(F.inline(F.concat(*parts)))
+
+
+def leaked_leaves(keys: DataFrame, found: DataFrame) -> DataFrame:
+    """Paths at which a key of the panel stands as a whole text or as a map key, with the number of places."""
+    names = keys.select(F.col("key").cast("string").alias("text")).where("text <> ''").distinct()
+    return found.join(names, "text", "left_semi").groupBy("path", "role", F.col("text").alias("key")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def banned_keys(found: DataFrame) -> DataFrame:
+    """Map keys that may not be published; they are data, so the schema does not show them."""
+    named = F.col("text").isin(BANNED_EXACT) | F.greatest(*[F.contains("text", F.lit(b)) for b in BANNED_ANYWHERE])
+    return found.where((F.col("role") == "key") & named).select("path", F.col("text").alias("key")).distinct()
+
+
+def refuse_document(keys: DataFrame, document: DataFrame) -> None:
+    """Hard stop before nested rows are published: names of the schema, map keys and values are looked at, at every level."""
+    found = leaves(document)
+    banned = banned_names(document) + [r["key"] for r in offenders(banned_keys(found)).collect()]
+    refuse_leaks(leaked_leaves(keys, found).select("key").distinct(), banned)
+
+
 def refuse_leaks(leaks: DataFrame, banned: list[str]) -> None:
     """Hard stop before a publication."""
     found = [r["key"] for r in offenders(leaks).collect()]

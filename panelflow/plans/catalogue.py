@@ -335,6 +335,31 @@ def guard_marker_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gd.banned_text(rows.select(F.to_json(F.struct(*rows.columns)).alias("doc")), "doc")
 
 
+@query("public_document")
+def public_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every value of the published document, read back from its file."""
+    panel = stored(dt.document_panel(spark, sf_dir), "panel")
+    document = weekly.publish_document(panel, scratch_path(spark, "public"), "2001-01-15")
+    return gd.leaves(document).where("role = 'value'").select("path", "text", "number")
+
+
+def _private(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    panel = stored(dt.document_panel(spark, sf_dir), "panel")
+    return weekly.keep_private(panel, dt.charted_names(panel), scratch_path(spark, "private"))
+
+
+@query("private_document")
+def private_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Displayed rows of all captures, read back from the private document."""
+    return _private(spark, sf_dir)[0]
+
+
+@query("private_revision")
+def private_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Revision rows of the private document with lens and chart flag."""
+    return _private(spark, sf_dir)[1].select("as_of", "ticker", "rev_rank", "rev_badge", "lens_pass", "chart")
+
+
 # ---- returns and risk ----------------------------------------------------------------------
 
 

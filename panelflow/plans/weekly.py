@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelflow.functions.cells import rating_date_lenient
 from panelflow.operators import crosssection as cs
-from panelflow.operators import guards, quality
+from panelflow.operators import documents, guards, quality
 from panelflow.operators import revision as rv
 from panelflow.operators import universe as un
 from panelflow.operators.asof import number_captures
@@ -126,3 +126,27 @@ def publish(panel: DataFrame, path: str) -> None:
         published = doc if published is None else published.unionByName(doc)
     guards.refuse_leaks(guards.leaked_keys(keys, published, "doc", "row_id"), banned)
     store.write_document(sections, path)
+
+
+def publish_document(panel: DataFrame, path: str, today: str) -> DataFrame:
+    """Write the public document of the latest capture as one nested JSON row; a key or a banned name at any depth stops it first.
+
+    Keys are those of every capture of the panel, as a name that left may not be published either.
+    """
+    document = stored(documents.public_document(panel, today), "public")
+    guards.refuse_document(panel.select(F.col("ticker").alias("key")), document)
+    store.write_nested(document, path)
+    return store.read_nested(panel.sparkSession, path, document.schema)
+
+
+def keep_private(panel: DataFrame, charted: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """Write the private document: the displayed rows and the revision rows with their chart flag, a folder per capture each."""
+    out = []
+    for name, rows in (
+        ("table", documents.private_rows(panel, charted)),
+        ("revision", documents.with_charts(rv.with_lens(rv.revision_rows(panel), panel), charted)),
+    ):
+        target = f"{path.rstrip('/')}/{name}"
+        store.write_rows_by_capture(rows, target)
+        out.append(store.read_nested(panel.sparkSession, target, rows.schema))
+    return out[0], out[1]

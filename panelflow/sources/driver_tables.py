@@ -113,6 +113,36 @@ def ratings_panel(spark: SparkSession, sf_dir: str, captures: DataFrame | None =
     )
 
 
+def document_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel with the fields only documents show: company, best analysts' label, fund signal, two analysts, rating date as text.
+
+    Tickers begin with a letter, as those of an export do: bare numbers would stand in a document as buckets of its histogram.
+    Nations and regions are the fixed 25 and 5 rows of the tables, which bounds their broadcast.
+    """
+    nation = table(spark, sf_dir, "nation").join(
+        F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey")
+    ).select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("most_accurate_analyst"), F.col("r_name").alias("most_profitable_analyst"))
+    names = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ticker"), F.col("c_name").alias("company"), "c_nationkey")
+    best, level = F.col("best_analyst_upside_pct"), F.col("close_tr")
+    return (
+        ratings_panel(spark, sf_dir)
+        .join(names, "ticker")
+        .join(F.broadcast(nation), "c_nationkey", "left")
+        .drop("c_nationkey")
+        .withColumns({
+            "ticker": F.concat(F.lit("C"), F.col("ticker").cast("string")),
+            "best_analyst_consensus": F.when(best >= 30, "Strong Buy").when(best >= 10, "Hold"),
+            "hedgefund_signal": F.when(level >= 60, "Increased").when(level >= 30, "Decreased"),
+            "last_rating_date": F.date_format("rating_date", "yyyy-MM-dd"),
+        })
+    )
+
+
+def charted_names(panel: DataFrame) -> DataFrame:
+    """Names matched at two captures or more, so that there is a line to draw."""
+    return panel.groupBy("ticker").agg(F.count_if("matched").alias("points")).where("points >= 2").select("ticker")
+
+
 def graded_panel(spark: SparkSession, sf_dir: str, captures: DataFrame | None = None) -> DataFrame:
     """Panel with a beta and three forward measures: the target's change one, two and three
     captures on, in hundredths, where the name is still on the export then."""

@@ -182,3 +182,17 @@ def write_document(tables: dict[str, DataFrame], path: str) -> None:
         df.select(F.lit(name).alias("section"), F.to_json(F.struct(*df.columns)).alias("value")).write.mode(
             "overwrite"
         ).json(f"{path.rstrip('/')}/section={name}")
+
+
+def write_nested(document: DataFrame, path: str) -> None:
+    """Nested rows as JSON lines, one per row, nulls written out."""
+    document.write.option("ignoreNullFields", False).mode("overwrite").json(path)
+
+
+def write_rows_by_capture(rows: DataFrame, path: str) -> None:
+    """Rows per name as JSON lines in one folder per capture; other captures of the folder are left alone."""
+    rows.write.partitionBy("as_of").option("partitionOverwriteMode", "dynamic").option("ignoreNullFields", False).mode("overwrite").json(path)
+
+
+def read_nested(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
